@@ -13,6 +13,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
+import sys
+from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +26,11 @@ from .common import small_batches, table, text_of
 
 #: The pre-tokenizer pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE_ENTRIES = 200_000
+#: Bounds of the memory of encoded pieces in each Python worker, about 130 MB.
+CACHE_ENTRIES = 600_000
 CACHE_BYTES = 64
+#: array("I") has little-endian 32-bit items here.
+NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,45 +54,56 @@ class Vocabulary:
         for s, i in ids.items():
             if len(s) == 1:
                 self.of_byte[alphabet[s]] = i
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.ranks: dict[int, int] = {}
+        self.rules: list[tuple[int, int, int]] = []
+        for pair in model["merges"]:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.ranks.setdefault(ids[left] << 32 | ids[right], len(self.rules))
+            self.rules.append((ids[left], ids[right], ids[left + right]))
 
 
-def merge(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge(symbols: list[int], ranks: dict[int, int], rules: list[tuple[int, int, int]]) -> list[int]:
     """Apply the merges in order of rank, leftmost first.
 
-    The queue holds (rank, place, left, right, merged).  A merge writes into its left place and unlinks the right one;
-    entries that name symbols no longer at their place, or no longer linked, are stale and are skipped when popped.
+    ranks: left << 32 | right to rank; rules: (left, right, merged) by rank.  The queue holds rank << 32 | place.  A merge
+    writes into its left place and unlinks the right one; entries whose symbols no longer stand at their place, next to
+    each other, are stale and are skipped when popped.
     """
     n = len(symbols)
-    if n < 2:
+    find, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    queue = []
+    left = symbols[0]
+    for i in range(1, n):
+        right = symbols[i]
+        rank = find(left << 32 | right)
+        if rank is not None:
+            queue.append(rank << 32 | i - 1)
+        left = right
+    if not queue:
         return symbols
     after = [*range(1, n), -1]
     before = [*range(-1, n - 1)]
-    queue: list[tuple[int, int, int, int, int]] = []
-    find = merges.get
-    for i in range(n - 1):
-        if found := find((symbols[i], symbols[i + 1])):
-            queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
     heapq.heapify(queue)
     while queue:
-        _, i, left, right, merged = heapq.heappop(queue)
+        entry = pop(queue)
+        i = entry & 0xFFFFFFFF
+        left, right, merged = rules[entry >> 32]
         j = after[i]
         if symbols[i] != left or j < 0 or symbols[j] != right:
             continue
         symbols[i] = merged
         symbols[j] = -1
-        k = after[j]
-        after[i] = k
+        after[i] = k = after[j]
         if k >= 0:
             before[k] = i
-            if found := find((merged, symbols[k])):
-                heapq.heappush(queue, (found[0], i, merged, symbols[k], found[1]))
+            rank = find(merged << 32 | symbols[k])
+            if rank is not None:
+                push(queue, rank << 32 | i)
         h = before[i]
-        if h >= 0 and (found := find((symbols[h], merged))):
-            heapq.heappush(queue, (found[0], h, symbols[h], merged, found[1]))
+        if h >= 0:
+            rank = find(symbols[h] << 32 | merged)
+            if rank is not None:
+                push(queue, rank << 32 | h)
     return [s for s in symbols if s >= 0]
 
 
@@ -102,8 +120,9 @@ class Codec(dict):
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
-        ids = merge([self.v.of_byte[b] for b in raw], self.v.merges)
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
+        v = self.v
+        ids = merge([v.of_byte[b] for b in raw], v.ranks, v.rules)
+        out = array("I", ids).tobytes() if NATIVE else struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= CACHE_BYTES:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -125,7 +144,13 @@ class Codec(dict):
 
     def decode(self, ids: bytes) -> str:
         strings = self.v.strings
-        return b"".join([strings[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        return b"".join([strings[i] for (i,) in struct.iter_unpack("<I", ids)]).decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=2)
+def codec_of(source: str) -> Codec:
+    """A worker keeps its codec, and the pieces that it has met, from task to task."""
+    return Codec(Vocabulary(source))
 
 
 def _read_all(spark: SparkSession, path: str) -> str:
@@ -143,7 +168,7 @@ def encode_table(docs: DataFrame, vocabulary_path: str, text: str = "text", keep
     source = spark.sparkContext.broadcast(_read_all(spark, vocabulary_path))
 
     def run(batches):
-        codec = Codec(Vocabulary(source.value))
+        codec = codec_of(source.value)
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
