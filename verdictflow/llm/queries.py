@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, chat, mixing, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_mixing": mixing.op4_mixing,
+    "op9_chat": chat.op9_chat,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op9_chat": chat.ORACLE,
 }
