@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality_rules
+from . import bpe, chat, minhash_dedup, mixing, pu_classifier, quality_rules, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_quality_classifier": pu_classifier.op2_quality_classifier,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
+    "op5_minhash": minhash_dedup.op5_minhash,
     "op9_chat": chat.op9_chat,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
     "op9_chat": chat.ORACLE,
 }
