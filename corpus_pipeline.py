@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictflow.llm import bpe, common, quality_rules
+from verdictflow.llm import bpe, common, minhash_dedup, mixing, pu_classifier, quality_rules
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("quality_classifier", pu_classifier.stage),
+    ("near_dedup", minhash_dedup.stage),
+    ("mixing", mixing.stage),
     ("bpe", bpe.stage),
 ]
 

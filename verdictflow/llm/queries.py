@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, minhash_dedup, mixing, pu_classifier, quality_rules, warc
+from . import bpe, chat, html_extract, minhash_dedup, mixing, pu_classifier, quality_rules, spotsigs, training_order, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_minhash": minhash_dedup.op5_minhash,
+    "op6_training_order": training_order.op6_training_order,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
+    "op8_html": html_extract.op8_html,
     "op9_chat": chat.op9_chat,
     "op10_bpe": bpe.op10_bpe,
 }
