@@ -3,7 +3,7 @@
 A small network is fitted to trusted positives (label 1) against unlabelled text with an estimated class prior pi.  With
 a loss l, the risk is pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)); where the bracket falls below zero its gradient is
 reversed, which keeps the network from pushing unlabelled positives down.  pi is the positives' share among the labelled
-training rows, smoothed by one row of each label.
+training rows that are in the table, smoothed by one row of each label.
 
 Features are built-in expressions over the whole text, scores a built-in expression over the features.  Only the fit
 sees a sample: at most MAX_POSITIVE positives and MAX_UNLABELLED unlabelled rows of the training folds, the first by a
@@ -127,7 +127,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
 def train(scored: DataFrame, names: list[str], labels: DataFrame) -> tuple[Column, float]:
     """The score as an expression over the features, and the class prior."""
-    trusted = trusted_labels(labels)
+    trusted = trusted_labels(labels).join(scored.select("doc_id"), "doc_id", "left_semi")
     counts = {r["quality"]: r["n"] for r in trusted.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     pool = scored.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", *names)
