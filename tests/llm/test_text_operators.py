@@ -213,11 +213,16 @@ def test_feistel():
 
 
 def test_training_order_resumes(spark, odd, tmp_path):
-    tokens = common.stored(training_order.numbered(bpe.encode_table(odd, bpe.default_vocabulary(), keep_ids=True).select("doc_id", "n_tokens", "ids"), 64), "t")
-    total = tokens.agg(F.sum("parts")).first()[0]
-    index = training_order.write_shards(tokens, f"{tmp_path}/s", total, sequence=64, shard=100)
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as f:
+        source = spark.sparkContext.broadcast(f.read())
+    docs = odd.select("doc_id", common.text_of().alias("text"))
+    pieces, total = training_order.sequences(docs, public_tokenizers.PATTERN, source, 64, 100)
+    index = training_order.write_shards(pieces, f"{tmp_path}/s", sequence=64, shard=100)
     rows = common.stored(index, "t").collect()
     assert sorted(r.slot for r in rows) == list(range(total))
     for r in random.Random(1).sample(rows, 20):
         (doc_id, part, ids), *_ = training_order.read_from(r.path, r.offset, 1, 64)
         assert (part, len(ids)) == (r.part, r.length) and (doc_id == r.doc_id or r.doc_id is None)
+    assert training_order.sequences(docs.limit(0), public_tokenizers.PATTERN, source, 64, 100)[0].count() == 0

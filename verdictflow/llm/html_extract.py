@@ -73,7 +73,10 @@ class Node:
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id"):
                     tokens = {x.lower() for x in TOKEN.findall(value)}
-                    boiler = boiler or (bool(tokens & BOILERPLATE_WORDS) and not (tag in MAIN_TAGS and not tokens & {"comment", "comments", "reply", "ad", "ads"}))
+                    marks = tokens & BOILERPLATE_WORDS
+                    if marks <= {"header", "head"} and (main or tokens & CONTENT_WORDS):
+                        marks = set()  # an article's own head, which holds its title
+                    boiler = boiler or (bool(marks) and not (tag in MAIN_TAGS and not tokens & {"comment", "comments", "reply", "ad", "ads"}))
                     content = content or bool(tokens & CONTENT_WORDS)
                 elif name == "role":
                     boiler = boiler or value.lower() in BOILERPLATE_ROLES
@@ -191,6 +194,7 @@ def closed_by(node: Node, tag: str) -> Node:
 def scores(blocks: list[Block]) -> list[float]:
     """Positive: content.  Without a main element, density of words and links decides."""
     has_main = any(b.node.main and not b.node.boiler for b in blocks)
+    has_content = any(b.node.content and not b.node.boiler for b in blocks)
     out = []
     for b in blocks:
         words = b.text.count(" ") + 1
@@ -200,7 +204,7 @@ def scores(blocks: list[Block]) -> list[float]:
             s = STRONG if b.node.main else -4.0
         else:
             tag = b.node.tag
-            s = -1.2 + 3.0 * min(words, 15) / 15 - 4.0 * b.linked + 0.6 * (b.text[-1:] in ".!?…\"”»") + 1.0 * (tag in ("p", "pre", "blockquote")) + 1.2 * (tag in ("h1", "h2")) + 1.5 * b.node.content - 3.0 * ("©" in b.text)
+            s = -1.2 + 3.0 * min(words, 15) / 15 - 4.0 * b.linked + 0.6 * (b.text[-1:] in ".!?…\"”»") + 1.0 * (tag in ("p", "pre", "blockquote")) + 1.2 * (tag in ("h1", "h2")) + (2.5 if b.node.content else -2.5) * has_content - 3.0 * ("©" in b.text)
         out.append(s)
     return out
 

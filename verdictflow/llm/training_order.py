@@ -1,32 +1,37 @@
 """Training-order materialisation: a keyed Feistel permutation with cycle-walking gives every sequence a global slot;
 range partitions of the slots write shards of fixed stride, for sequential reads that can start anywhere.
 
-Documents are encoded to token ids by the byte-level BPE operator of this subpackage, cut into sequences of
-SEQUENCE ids (the last one padded with PAD), and numbered 0 .. N-1: a document's first number is the sum of the
-sequences of those before it, in order of (range of ids, doc_id).  The permutation sends number to slot.  Shard k holds
-slots k * SHARD .. as records of STRIDE bytes: a header (doc_id, part, used ids) and the ids as little-endian uint16
-(or uint32 for larger vocabularies).  So slot s stands at byte (s % SHARD) * STRIDE of shard s // SHARD.
+Documents are encoded to token ids, cut into sequences of SEQUENCE ids (the last one padded with PAD), and numbered
+0 .. N-1 in the order of the scan: a first pass counts each task's sequences, a second one adds its task's offset, and
+stops with an error if a task finds another count than before.  Encoding twice costs less than a written table of ids.
+The permutation sends number to slot.  Shard k holds slots k * SHARD .. as records of STRIDE bytes: a header (doc_id,
+part, used ids) and the ids as little-endian uint16.  So slot s stands at byte (s % SHARD) * STRIDE of shard s // SHARD.
+
+The order depends on the key and on how the input's files are split; the written shards are what a training run reads
+and resumes from.
 
 Edge cases: a null or empty text has no ids and gives one sequence of padding only, so that every row can be found;
-null ids are numbered last and written as the least long; repeated rows get slots of their own; an empty table writes
-nothing; other columns are not read; texts of any length are written whole.
+null ids are written as the least long; repeated rows get slots of their own; an empty table writes nothing; other
+columns are not read; texts of any length are written whole.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, encode_table
-from .common import discard, scratch, small_batches, stored, table
+from .common import scratch, small_batches, stored, table, text_of
 
 SEQUENCE = 1024
 PAD = 0xFFFF
@@ -37,7 +42,6 @@ STRIDE = HEADER_BYTES + 2 * SEQUENCE
 NO_ID = -(2**63)
 KEY = b"training-order-1"
 ROUNDS = 6
-BUCKETS = 1024
 
 
 class Feistel:
@@ -79,46 +83,68 @@ class Feistel:
         return self._walk(slots, self._once_back)
 
 
-def numbered(tokens: DataFrame, sequence: int) -> DataFrame:
-    """tokens (doc_id, n_tokens, ids) with parts and first, a document's first sequence number.
+@lru_cache(maxsize=2)
+def encoder(pattern: str, source: str):
+    """An encoder of the vocabulary in a file of ranks; special tokens' strings are ordinary text."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source.splitlines() if line)}
+    if max(ranks.values()) >= PAD:
+        raise ValueError("token ids of 16 bits are needed")
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    Offsets are summed in two levels: over buckets of a hash of the id (a bounded table), and inside each bucket.
-    """
-    rows = tokens.withColumn("parts", F.greatest(F.ceil(F.col("n_tokens") / sequence), F.lit(1)).cast("long"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-    sums = rows.groupBy("bucket").agg(F.sum("parts").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("bucket", before.alias("base"))
-    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "ids").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("parts").over(inside), F.lit(0)))
-    return rows.join(sums, "bucket").withColumn("first", F.col("base") + F.col("inside")).drop("bucket", "base", "inside")
 
+def offsets(docs: DataFrame, pattern: str, source, sequence: int) -> dict[int, tuple[int, int]]:
+    """task -> (first number, count): as many entries as the scan has tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, n = encoder(pattern, source.value).encode_ordinary, 0
+        for batch in batches:
+            n += sum(max(1, -(-len(encode(x)) // sequence)) for x in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["task", "n"])
+
+    out, at = {}, 0
+    for r in sorted(docs.mapInArrow(run, "task int, n long").collect()):
+        out[r.task] = (at, r.n)
+        at += r.n
+    return out
+
+
+def sequences(docs: DataFrame, pattern: str, source, sequence: int, shard: int, key: bytes = KEY) -> tuple[DataFrame, int]:
+    """(doc_id, part, slot, shard, ids) of docs (doc_id, text), and the number of sequences."""
+    spark = docs.sparkSession
+    places = offsets(docs, pattern, source, sequence)
+    total = sum(n for _, n in places.values())
+    permutation = Feistel(max(1, total), key)
+    known = spark.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(pattern, source.value).encode_ordinary
+        at, count = known.value[TaskContext.get().partitionId()]
+        end = at + count
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.array(encode(text), "<u2")
+                parts = max(1, -(-len(ids) // sequence))
+                slots = permutation.slots(np.arange(at, at + parts))
+                at += parts
+                for k in range(0, parts, 512):
+                    pieces = [ids[p * sequence : (p + 1) * sequence].tobytes() for p in range(k, min(parts, k + 512))]
+                    n, s = len(pieces), slots[k : k + 512]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(range(k, k + n), pa.int32()), pa.array(s), pa.array(s // shard), pa.array(pieces, pa.binary())], ["doc_id", "part", "slot", "shard", "ids"])
+        if at != end:
+            raise ValueError("the scan was split in another way than when it was counted")
 
-def write_shards(tokens: DataFrame, folder: str, total: int, sequence: int = SEQUENCE, shard: int = SHARD, key: bytes = KEY) -> DataFrame:
-    """Write the shards and return one row per sequence: doc_id, part, slot, shard, offset, length, sha256, path.
+    return docs.mapInArrow(run, "doc_id long, part int, slot long, shard long, ids binary"), total
+
+
+def write_shards(pieces: DataFrame, folder: str, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
+    """Write what sequences() gives and return one row per sequence: doc_id, part, slot, shard, offset, length, sha256, path.
 
     Each shard is one group of at most ``shard`` sequences, so every task holds a bounded number of bytes; a shard is
     written under a name of its attempt and known by the returned rows alone.
     """
     stride = HEADER_BYTES + 2 * sequence
-    permutation = Feistel(total, key)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, ids, parts, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = np.frombuffer(ids, "<u4")
-                if len(whole) and whole.max() >= PAD:
-                    raise ValueError("token ids of 16 bits are needed")
-                slots = permutation.slots(np.arange(first, first + parts))
-                for at in range(0, parts, 512):
-                    pieces = [whole[p * sequence : (p + 1) * sequence].astype("<u2").tobytes() for p in range(at, min(parts, at + 512))]
-                    n = len(pieces)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc_id] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(slots[at : at + n]), pa.array(slots[at : at + n] // shard), pa.array(pieces, pa.binary())],
-                        ["doc_id", "part", "slot", "shard", "ids"],
-                    )
-
-    pieces = tokens.select("doc_id", "ids", "parts", "first").mapInArrow(cut, "doc_id long, part int, slot long, shard long, ids binary")
 
     def write(t: pa.Table) -> pa.Table:
         t = t.sort_by("slot")
@@ -154,12 +180,14 @@ def read_from(path: str, offset: int, count: int, sequence: int = SEQUENCE) -> I
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sequence, read back from the written shards: its place and the digest of its ids as read."""
+    import public_tokenizers
+
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = stored(numbered(encode_table(docs, default_vocabulary(), keep_ids=True).select("doc_id", "n_tokens", "ids"), SEQUENCE), "order-tokens")
-    total = tokens.agg(F.sum("parts")).first()[0] or 0
-    written = stored(write_shards(tokens, scratch(spark, "shards"), max(1, total)), "order-index")
-    discard(tokens)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="ascii") as f:
+        source = spark.sparkContext.broadcast(f.read())
+    pieces, _ = sequences(docs, public_tokenizers.PATTERN, source, SEQUENCE, SHARD)
+    written = stored(write_shards(pieces, scratch(spark, "shards")), "order-index")
     shards = written.select("shard", "path").distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
