@@ -114,10 +114,57 @@ def test_classifier_on_odd_rows(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
-def test_pipeline_stages_follow_each_other(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what its predecessor kept, held against plain Python, DuckDB or the tokenizers library."""
+    from collections import Counter, defaultdict
+
+    from tokenizers import Tokenizer
+
+    from verdictflow.llm import bpe, common, quality_rules
+
+    sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_dedup", "mixing", "bpe"]
-    rows = out.collect()
-    ids = {r.doc_id for r in rows}
-    assert rows and ids <= {r.doc_id for r in docs.select("doc_id").collect()} and all(r.round_trip for r in rows)
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, sf), f"test-{name}")
+        assert name == "bpe" or docs.columns == columns
+        seen.append(docs.collect())
+    rules, classifier, dedup, mix, encoded = seen
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert {r.doc_id for r in rules} == {i for i, k in con.sql(f"SELECT doc_id, kept FROM ({quality_rules.ORACLE})").fetchall() if k}
+
+    quality = dict(con.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    before, after = {r.doc_id for r in rules}, {r.doc_id for r in classifier}
+    good = [i for i in before if quality.get(i) == 1]
+    assert after <= before and sum(i in after for i in good) >= 0.95 * len(good)
+
+    least = brute([(r.doc_id, r.text) for r in classifier], 5, 80)
+    assert sorted(r.doc_id for r in dedup) == sorted(i for i, c in least.items() if i == c)
+
+    words = lambda t: len([w for w in (t or "").translate({i: 32 for i in (9, 10, 11, 12, 13)}).split(" ") if w])
+    size, taken, weight = defaultdict(int), defaultdict(int), {}
+    for r in dedup:
+        size[r.source] += words(r.text)
+    for r in mix:
+        taken[r.source] += words(r.text)
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(size))}
+    capped: set = set()
+    while True:
+        left, free = sum(size.values()) - sum(3 * size[s] for s in capped), [s for s in size if s not in capped]
+        target = {s: left * weight[s] / sum(weight[x] for x in free) for s in free} | {s: 3 * size[s] for s in capped}
+        over = {s for s in free if target[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    longest = max(words(r.text) for r in dedup)
+    assert max(Counter(r.doc_id for r in mix).values()) <= 3
+    assert all(abs(taken[s] - target[s]) <= longest for s in size)
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = {r.doc_id: r.text for r in mix}
+    assert Counter(r.doc_id for r in encoded) == Counter(r.doc_id for r in mix)
+    assert all(r.round_trip and r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in encoded)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == set(texts)

@@ -26,7 +26,8 @@ from .quality_rules import stop_forms
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 40_000
 HIDDEN = 12
-EPOCHS = 60
+#: Passes over the unlabelled rows; more of them where those are few.
+EPOCHS, LEAST_STEPS = 60, 800
 BATCH = 1024
 RATE = 0.01
 SEED = 11
@@ -105,7 +106,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     net = Network(positive.shape[1], rng)
     first, second, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
     n_batches = max(1, -(-len(unlabelled) // BATCH))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // n_batches))):
         order_u, order_p = rng.permutation(len(unlabelled)), rng.permutation(len(positive))
         for b in range(n_batches):
             u, p = unlabelled[order_u[b::n_batches]], positive[order_p[b % len(order_p) :: n_batches]]
