@@ -4,11 +4,11 @@
    its signature.  Documents with equal sets are one representative, known by a 128-bit digest of the set.
 2. The K positions are split into chunks of CHUNK.  If two signatures differ in at most THRESHOLD = 2 * chunks - 1
    positions, some chunk has at most one error (pigeonhole); so each chunk is keyed once for each position left out, and
-   any such pair shares a key.  At a similarity of 0.85 a pair differs in more positions with a probability below 1e-6,
-   and shares no key with one below 1e-10.
+   any such pair shares a key.  A pair shares no key with a probability below 1e-10 at a similarity of 0.85, below
+   1e-8 at 0.8.
 3. In each bucket every member is linked to the least one: as many rows as members, never all pairs.  The components of
    these links hold every pair that shares a key.
-4. Within a component, pairs under THRESHOLD that are not connected yet are compared on their full sets, counted over an
+4. Within a component, pairs up to COMPARED that are not connected yet are compared on their full sets, counted over an
    inverted index, from the most central signature outwards.  Large components are cut into blocks and every two blocks
    meet in a task of their own, which returns a spanning forest of the links it confirms; no pair goes uncompared, and
    no task sees more than two blocks.
@@ -34,6 +34,9 @@ from .components import connected_components
 POSITIONS, CHUNK = 70, 5
 CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 2 * CHUNKS - 1
+#: Candidates are compared up to this distance: the buckets also hold pairs beyond THRESHOLD, and at a similarity of 0.8
+#: one pair in 10,000 lies there.
+COMPARED = THRESHOLD + 9
 #: A block of a large component: so many documents, or so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 
@@ -156,7 +159,7 @@ def confirm(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, per
         if not other.any():
             continue
         near = np.flatnonzero(other)
-        near = near[(sigs[near] != sigs[x]).sum(1) <= THRESHOLD]
+        near = near[(sigs[near] != sigs[x]).sum(1) <= COMPARED]
         if not len(near):
             continue
         if len(near) <= 4:
