@@ -16,6 +16,8 @@ all scores are the prior; an empty table gives an empty table; clashing column n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,16 +128,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+def first_by_hash(rows: DataFrame, most: int, names: list[str]) -> np.ndarray:
+    """The ``most`` rows whose ids hash lowest.  Hashes beyond twice their share are left out first, so that tasks don't
+    each send ``most`` rows to the driver."""
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 31))
+    n = rows.count()
+    near = rows.where(draw < math.ceil((1 << 31) * min(1.0, 2 * most / max(n, 1))))
+    return near.orderBy(draw, "doc_id").limit(most).select(names).toPandas().to_numpy(float)
+
+
 def train(scored: DataFrame, names: list[str], labels: DataFrame) -> tuple[Column, float]:
     """The score as an expression over the features, and the class prior."""
     trusted = trusted_labels(labels).join(scored.select("doc_id"), "doc_id", "left_semi")
     counts = {r["quality"]: r["n"] for r in trusted.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     pool = scored.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", *names)
-    draw = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
-    unlabelled = pool.orderBy(*draw).limit(MAX_UNLABELLED).select(names).toPandas().to_numpy(float)
-    positives = pool.join(trusted.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    positive = positives.orderBy(*draw).limit(MAX_POSITIVE).select(names).toPandas().to_numpy(float)
+    unlabelled = first_by_hash(pool, MAX_UNLABELLED, names)
+    positive = first_by_hash(pool.join(trusted.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE, names)
     if not len(positive):
         return F.lit(prior), prior
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
