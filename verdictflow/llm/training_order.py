@@ -123,15 +123,17 @@ def sequences(docs: DataFrame, pattern: str, source, sequence: int, shard: int,
         at, count = known.value[TaskContext.get().partitionId()]
         end = at + count
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array(encode(text), "<u2")
-                parts = max(1, -(-len(ids) // sequence))
-                slots = permutation.slots(np.arange(at, at + parts))
-                at += parts
-                for k in range(0, parts, 512):
-                    pieces = [ids[p * sequence : (p + 1) * sequence].tobytes() for p in range(k, min(parts, k + 512))]
-                    n, s = len(pieces), slots[k : k + 512]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(range(k, k + n), pa.int32()), pa.array(s), pa.array(s // shard), pa.array(pieces, pa.binary())], ["doc_id", "part", "slot", "shard", "ids"])
+            ids = [np.array(encode(x), "<u2") for x in batch.column(1).to_pylist()]
+            parts = np.array([max(1, -(-len(x) // sequence)) for x in ids], np.int64)
+            n = int(parts.sum())
+            slots = permutation.slots(np.arange(at, at + n))
+            at += n
+            owner = np.repeat(np.arange(len(ids)), parts)
+            part = np.arange(n) - np.repeat(np.cumsum(parts) - parts, parts)
+            for k in range(0, n, 4096):
+                o, p, s = owner[k : k + 4096], part[k : k + 4096], slots[k : k + 4096]
+                pieces = [ids[i][j * sequence : (j + 1) * sequence].tobytes() for i, j in zip(o.tolist(), p.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(o)), pa.array(p, pa.int32()), pa.array(s), pa.array(s // shard), pa.array(pieces, pa.binary())], ["doc_id", "part", "slot", "shard", "ids"])
         if at != end:
             raise ValueError("the scan was split in another way than when it was counted")
 
