@@ -97,8 +97,9 @@ def resolve_dependencies(candidates: DataFrame, registry: DataFrame) -> DataFram
     return decide(lookup(candidates.withColumn("dist", F.col("top")), registry), DEPENDENCY_RULES)
 
 
-def histogram(decisions: DataFrame) -> DataFrame:
-    return decisions.groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
+def histogram(decisions: DataFrame, weight: str | None = None) -> DataFrame:
+    """Rows by verdict and reason; with a weight, a row stands for that many."""
+    return decisions.groupBy("verdict", "reason").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
 def new_verdicts(known: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ def norm_sql(x: str) -> str:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, token: distinct lower-case words of each first line."""
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    return docs.select("doc_id", "source", "lang", F.explode(F.array_distinct(F.split(F.lower(first), "[^a-z]+"))).alias("token")).where("token <> ''")
+    """doc_id, source, lang, token: distinct lower-case words of each whole text."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", "source", "lang", F.explode(F.array_distinct(F.split(text, "[^a-z]+"))).alias("token")).where("token <> ''")
 
 
 TOKENS_SQL = """tok AS (
@@ -54,15 +54,15 @@ FROM t LEFT JOIN fp USING (source, token) LEFT JOIN reg ON reg.token = t.token G
 """)
 def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade over words: short ones as standard, a source's shared ones as first-party, benchmark words as registry."""
-    t = tokens(read(spark, sf_dir, "documents"))
+    t = tokens(read(spark, sf_dir, "documents")).groupBy("source", "lang", "token").agg(F.count(F.lit(1)).alias("n"))
     known = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"))).alias("token")).distinct().withColumn("known", F.lit(True))
-    shared = t.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source", "token", F.lit(True).alias("shared"))
-    rows = t.join(shared, ["source", "token"], "left").join(known, "token", "left")
+    shared = F.sum("n").over(Window.partitionBy("source", "token")) > 1
+    rows = t.withColumn("shared", shared & F.col("source").isNotNull()).join(known, "token", "left")
     rows = rows.withColumns({
-        "kind": F.lit("import"), "top": F.col("token"), "in_stdlib": F.length("token") <= 2, "in_first_party": F.coalesce("shared", F.lit(False)), "in_repo": F.lit(False), "in_sibling": F.lit(False),
+        "kind": F.lit("import"), "top": F.col("token"), "in_stdlib": F.length("token") <= 2, "in_first_party": F.col("shared"), "in_repo": F.lit(False), "in_sibling": F.lit(False),
         "registry": F.when(F.coalesce(F.col("lang"), F.lit("")) != "en", "unknown").when(F.col("known"), "exists").otherwise("absent"),
     })
-    return cascade.histogram(cascade.decide(rows, cascade.IMPORT_RULES))
+    return cascade.histogram(cascade.decide(rows, cascade.IMPORT_RULES), "n")
 
 
 @query("q02_name_normalize", f"SELECT p_partkey AS id, {norm_sql('p_name')} AS norm FROM part UNION ALL SELECT s_suppkey, {norm_sql('s_name')} FROM supplier UNION ALL SELECT n_nationkey::BIGINT, {norm_sql('n_name')} FROM nation")
