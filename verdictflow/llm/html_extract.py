@@ -2,7 +2,7 @@
 
 A linear scan splits a page into blocks of text, each with the elements that it stands in.  A classifier gives every
 block a signed score; positive scores are capacities from the source (content), negative ones to the sink
-(boilerplate).  Blocks that follow each other, and neighbours under one parent, are joined by smoothness edges.  The
+(boilerplate); tags and class names are features of it as density of words and links are.  Blocks that follow each other, and neighbours under one parent, are joined by smoothness edges.  The
 minimum cut, found by maximum flow, labels the blocks.  A block whose own capacity exceeds all of its edges is on that
 side of every minimum cut, so it is settled first and its edges are handed to its neighbours as capacities; the flow
 runs over what is left.
@@ -49,7 +49,7 @@ PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-STRONG, NEXT_TO, SAME_PARENT = 9.0, 0.4, 0.6
+MARKED, MAIN, NEXT_TO, SAME_PARENT = 5.0, 3.0, 0.4, 0.6
 
 
 class Node:
@@ -192,19 +192,25 @@ def closed_by(node: Node, tag: str) -> Node:
 
 
 def scores(blocks: list[Block]) -> list[float]:
-    """Positive: content.  Without a main element, density of words and links decides."""
+    """Positive: content.  Every mark is one bounded feature beside density of words and links.
+
+    What main elements are worth follows their share of the page's unlinked words: of teasers beside a body of text,
+    they speak against a block.
+    """
+    words = [b.text.count(" ") + 1 for b in blocks]
+    marked = [b.node.boiler or b.node.form for b in blocks]
+    own = [0.0 if m else w * (1 - min(1.0, b.linked)) for b, w, m in zip(blocks, words, marked, strict=True)]
     has_main = any(b.node.main and not b.node.boiler for b in blocks)
-    has_content = any(b.node.content and not b.node.boiler for b in blocks)
+    has_content = not has_main and any(b.node.content and not b.node.boiler for b in blocks)
+    weight = MAIN * (2 * sum(o for o, b in zip(own, blocks, strict=True) if b.node.main) / (sum(own) or 1.0) - 1) if has_main else 0.0
     out = []
-    for b in blocks:
-        words = b.text.count(" ") + 1
-        if b.node.boiler or b.node.form:
-            s = -STRONG
-        elif has_main:
-            s = STRONG if b.node.main else -4.0
+    for b, w, m in zip(blocks, words, marked, strict=True):
+        tag = b.node.tag
+        s = -1.2 + 3.0 * min(w, 15) / 15 - 4.0 * b.linked + 0.6 * (b.text[-1:] in ".!?…\"”»") + 1.0 * (tag in ("p", "pre", "blockquote")) + 1.2 * (tag in ("h1", "h2")) - 3.0 * ("©" in b.text)
+        if m:
+            s -= MARKED
         else:
-            tag = b.node.tag
-            s = -1.2 + 3.0 * min(words, 15) / 15 - 4.0 * b.linked + 0.6 * (b.text[-1:] in ".!?…\"”»") + 1.0 * (tag in ("p", "pre", "blockquote")) + 1.2 * (tag in ("h1", "h2")) + (2.5 if b.node.content else -2.5) * has_content - 3.0 * ("©" in b.text)
+            s += (weight if b.node.main else -weight) + (2.5 if b.node.content else -2.5) * has_content
         out.append(s)
     return out
 
