@@ -93,6 +93,17 @@ def resolve_imports(candidates: DataFrame, stdlib: DataFrame, aliases: DataFrame
     return decide(lookup(df, registry), rules)
 
 
+def adjudicate(decisions: DataFrame, adjudicated: DataFrame) -> DataFrame:
+    """Unresolved decisions (case_id, top, name, ...) whose top or full name the owner has adjudicated are kept.
+
+    adjudicated: (case_id, name).
+    """
+    df = flag(decisions, adjudicated.withColumnRenamed("name", "top"), ["case_id", "top"], "__by_top")
+    df = flag(df, adjudicated, ["case_id", "name"], "__by_name")
+    kept = (F.col("reason") == "unresolved") & (F.col("__by_top") | F.col("__by_name"))
+    return df.withColumns({"verdict": F.when(kept, "suppress").otherwise(F.col("verdict")), "reason": F.when(kept, "adjudicated-keep").otherwise(F.col("reason"))}).drop("__by_top", "__by_name")
+
+
 def resolve_dependencies(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return decide(lookup(candidates.withColumn("dist", F.col("top")), registry), DEPENDENCY_RULES)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import diffs as diff_lines
+
 # Limits of the corpus miner.
 MAX_AGE_DAYS, MAX_FILES, MAX_CHANGED, PER_REPO, DEFAULT_COUNT = 730, 30, 1500, 15, 12
 
@@ -13,6 +15,56 @@ def is_bot(user_type: Column, login: Column) -> Column:
     return (F.coalesce(user_type, F.lit("")) == "Bot") | F.coalesce(login, F.lit("")).endswith("[bot]")
 
 
+def merged_within(merged_at: Column, now: Column) -> Column:
+    return F.coalesce(merged_at >= now - F.make_dt_interval(F.lit(MAX_AGE_DAYS)), F.lit(False))
+
+
+def is_requirement_like(path: Column, content: Column) -> Column:
+    """Whether an added line of a manifest may name a package; in .txt files all but comments, options and links."""
+    line = F.regexp_replace(content, r"^\s+|\s+$", "")
+    spec = F.btrim(F.btrim(line, F.lit(",")), F.lit("\"'")).rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*(?:\[[^\]]+\])?\s*(?:(?:===|==|>=|<=|~=|!=|>|<)\S*|;.*)?$")
+    return (line != "") & ~line.startswith("#") & F.when(path.endswith(".txt"), ~line.startswith("-") & ~line.contains("://")).otherwise(spec)
+
+
+def diff_gates(diffs: DataFrame) -> DataFrame:
+    """case_id, touches_python, adds_name: does any file or added line of the diff pass?  Empty diffs have no row."""
+    raw, path, content = F.col("raw"), F.col("path"), F.substr("raw", F.lit(2))
+    event = F.when(raw.startswith("+++ b/"), F.substr(raw, F.lit(7))).when(raw.startswith("+++ "), "")
+    upto = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = diff_lines.raw_lines(diffs).withColumn("path", F.coalesce(F.last(event, ignorenulls=True).over(upto), F.lit("")))
+    added = raw.startswith("+") & ~raw.startswith("+++")
+    manifest = path.rlike(r"(?:^|/)(?:requirements[^/]*\.txt|pyproject\.toml|setup\.py|setup\.cfg)$")
+    named = F.when(path.endswith(".py"), content.rlike(r"^\s*(?:import|from)\s+[A-Za-z_.]")).otherwise(manifest & is_requirement_like(path, content))
+    return lines.groupBy("case_id").agg(F.bool_or(raw.startswith("+++ b/") & raw.endswith(".py")).alias("touches_python"), F.bool_or(added & named).alias("adds_name"))
+
+
+def mined(pulls: DataFrame, diffs: DataFrame, existing: DataFrame, now: Column, target: int = DEFAULT_COUNT) -> DataFrame:
+    """The examined pulls with case_id and gate: kept, already mined, or the first gate that they fail.
+
+    pulls: (repo, pos, number, merged_at, user_type, login), pos in listing order; diffs: (case_id, diff), without a row
+    or null where a diff can't be had; existing: (case_id).  Cases mined before, or earlier in the listing, count toward
+    the cap.
+    """
+    case_id = F.concat(F.replace("repo", F.lit("/"), F.lit("__")), F.lit("__pr"), F.col("number").cast("string"))
+    rows = pulls.withColumns({"case_id": case_id, "recent": merged_within(F.col("merged_at"), now), "bot": is_bot(F.col("user_type"), F.col("login"))})
+    had = diffs.where("diff IS NOT NULL")
+    for df in (existing.select("case_id").distinct().withColumn("existing", F.lit(True)), had.select("case_id", F.lit(True).alias("has_diff")), diff_gates(had), diff_lines.diff_stats(had)):
+        rows = rows.join(df, "case_id", "left")
+    gates = [
+        ("not merged", "merged_at IS NULL"), ("too old", "NOT recent"), ("bot", "bot"), ("already mined", "existing"), ("diff unavailable", "has_diff IS NULL"), ("no python file", "NOT coalesce(touches_python, false)"),
+        ("too large", f"n_files > {MAX_FILES} OR n_changed > {MAX_CHANGED}"), ("no import or requirement", "NOT coalesce(adds_name, false)"),
+    ]
+    again = F.row_number().over(Window.partitionBy("case_id", "gate").orderBy("pos")) > 1
+    rows = first_gate(rows, gates).withColumn("gate", F.when((F.col("gate") == "kept") & again, "already mined").otherwise(F.col("gate")))
+    counted = rows.withColumn("counted", F.col("gate").isin("kept", "already mined"))
+    return examined_until_full(counted, "repo", ["pos"], "counted", min(target, PER_REPO)).select("repo", "pos", "number", "case_id", "gate")
+
+
+def registry_checked(names: DataFrame) -> DataFrame:
+    """One row: how many names of a name table the registry resolved."""
+    return names.agg(F.count_if(F.col("status").isin("pypi", "pypi-alias")).alias("names"))
+
+
 def first_gate(rows: DataFrame, gates: list[tuple[str, str]], passed: str = "kept") -> DataFrame:
     """rows with gate: the first of (name, failing condition) that holds, else passed."""
     gate = F

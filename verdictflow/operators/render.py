@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import link, location, percent
+from . import scoring
 
 FIELDS = ("name", "file", "line", "kind", "message")
 
@@ -34,6 +35,32 @@ def report_text(report: DataFrame) -> DataFrame:
     return report.select("corpus", F.concat_ws(" ", *cells).alias("line"))
 
 
+def report_json(tool: str, match: str, cases: DataFrame, truths: DataFrame, findings: DataFrame, errors: DataFrame) -> DataFrame:
+    """body: one JSON document with every corpus by name and the total; undefined metrics are null.
+
+    errors: (case_id, error).
+    """
+    both = lambda df: df.join(cases.select("case_id", "corpus"), "case_id").withColumn("corpus", F.explode(F.array("corpus", F.lit("TOTAL"))))
+    credit = both(scoring.credited(truths, findings, match)).withColumn("kind", F.coalesce(F.nullif("kind", F.lit("")), F.lit("?")))
+    kinds = credit.groupBy("corpus", "kind").agg(F.struct(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total")).alias("v"))
+    kinds = kinds.groupBy("corpus").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "v")))).alias("kinds"))
+    unlocated = credit.groupBy("corpus").agg(F.count_if("unlocated").alias("unlocated"))
+    said = both(errors).groupBy("corpus").agg(F.transform(F.array_sort(F.collect_list(F.struct("case_id", "error"))), lambda e: F.concat(e["case_id"], F.lit(": "), e["error"])).alias("errors"))
+    rows = scoring.corpus_report(scoring.case_counts(cases, truths, findings, match))
+    for df in (kinds, unlocated, said):
+        rows = rows.join(df, "corpus", "left")
+    kinds_type = "map<string,struct<hits:bigint,total:bigint>>"
+    item = F.struct(
+        "corpus", "cases", "findings", "tp", "fp", "fn", "precision", "recall", "f1", "noise", F.coalesce("kinds", F.create_map().cast(kinds_type)).alias("kinds"),
+        F.coalesce("unlocated", F.lit(0)).alias("unlocated"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+    )
+    rows = rows.select("corpus", F.to_json(item, {"ignoreNullFields": "false"}).alias("j"))
+    out = rows.agg(F.array_sort(F.collect_list(F.when(F.col("corpus") != "TOTAL", F.struct("corpus", "j")))).alias("c"), F.max(F.when(F.col("corpus") == "TOTAL", F.col("j"))).alias("total"))
+    none = '{"corpus":"TOTAL","cases":0,"findings":0,"tp":0,"fp":0,"fn":0,"precision":null,"recall":null,"f1":null,"noise":0,"kinds":{},"unlocated":0,"errors":[]}'
+    head = F.regexp_replace(F.to_json(F.struct(F.lit(tool).alias("tool"), F.lit(match).alias("match"))), r"\}$", "")
+    return out.select(F.concat(head, F.lit(',"corpora":['), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit('],"total":'), F.coalesce("total", F.lit(none)), F.lit("}")).alias("body"))
+
+
 def findings(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
     """The fired rows of both paths, with messages."""
     said = F.concat(F.lit("'"), "top", F.lit("' is "), F.when(F.col("kind") == "requirement", "required").otherwise("imported"), F.lit(", but the registry has no such name (looked up as "), "dist", F.lit(")"))

@@ -39,6 +39,22 @@ def write_quarantine(cases: DataFrame, flagged: DataFrame, kept_path: str, revie
     review.write.mode("append").parquet(review_path)
 
 
+def verification_report(decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences by status, names by repository, unresolved candidates.
+
+    decisions: (case_id, repo, ord, kind, name, top, file, line, reason, evidence, signals), ord over all candidates.
+    """
+    rows = decisions.withColumnRenamed("reason", "status")
+    named = rows.withColumn("name", F.coalesce(F.nullif("top", F.lit("")), "name"))
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")), corpus.name_table(named, ["repo", "kind", "name"], "ord"), rows.where("status = 'unresolved'").select("case_id", "ord", "name", "top", "file", "line", "kind", "evidence", "signals")
+
+
+def write_verification_report(decisions: DataFrame, path: str) -> None:
+    """The report's parts as JSON, in folders of the path."""
+    for name, part in zip(("occurrences", "names", "unresolved"), verification_report(decisions), strict=True):
+        part.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def exit_code(findings: DataFrame, errors: DataFrame) -> DataFrame:
     """2 if a case failed, else 1 if anything was found, else 0."""
     n = findings.agg(F.count(F.lit(1)).alias("f")).crossJoin(errors.agg(F.count(F.lit(1)).alias("e")))

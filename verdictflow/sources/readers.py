@@ -30,6 +30,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("error", error).withColumn("diff", F.coalesce("diff", F.concat(F.lit("diffs/"), "id", F.lit(".diff")))).drop("value")
 
 
+def adjudicated(manifest: DataFrame) -> DataFrame:
+    """(case_id, name): the names of each case that its owner has adjudicated."""
+    return manifest.select(F.col("id").alias("case_id"), F.explode("adjudicated.name").alias("name")).where("name IS NOT NULL").distinct()
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot with one JSON object per file."""
     return spark.read.schema(REGISTRY).option("multiLine", True).json(path)
