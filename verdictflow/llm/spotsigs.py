@@ -88,6 +88,21 @@ TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_spots long"
 
 
+def _greatest(docs: DataFrame, near: list[float]) -> np.ndarray:
+    """Sorted: the greatest id up to each bound, and of all.  Bounds are doubles, so no id need equal one."""
+    bounds = np.array(sorted({min(int(x), (1 << 63) - 1) for x in near}), np.int64)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+            at = np.searchsorted(bounds, ids)
+            ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(ids) else []
+            yield pa.RecordBatch.from_arrays([pa.array(at[ends], pa.int32()), pa.array(ids[ends], pa.int64())], ["at", "doc_id"])
+
+    found = docs.select("doc_id").where("doc_id IS NOT NULL").mapInArrow(ends, "at int, doc_id long").groupBy("at").agg(F.max("doc_id").alias("doc_id"))
+    return np.array(sorted(r.doc_id for r in found.collect()), np.int64)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of docs (doc_id, text), of each edited text, and their likeness.
 
@@ -99,9 +114,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n, top = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     ranges = max(1, min(MOST, n // ROWS))
-    heads = docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    heads = sorted({int(x) for x in heads} | ({top} if top is not None else set()), reverse=True)
-    cuts = np.array(sorted(heads), np.int64)
+    near = docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    cuts = _greatest(docs, near) if near else np.array([] if top is None else [top], np.int64)
     last = max(0, len(cuts) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
