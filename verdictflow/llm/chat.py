@@ -87,10 +87,30 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return df.withColumn("turns", turns).drop("__pieces", "__heads")
 
 
+def under_mask() -> Column:
+    """array<string>: what loss_runs covers of each turn in formatted, unescaped.
+
+    A turn has three runs, which must add up to its characters; so each turn starts where the runs before it end.
+    """
+    turns = F.split("formatted", CLOSE, -1)
+    n = F.size(turns) - 1
+    turns = F.slice(turns, 1, n)
+    run = lambda i, k: F.get(F.col("loss_runs"), 3 * i + k)
+
+    def covered(piece: Column, i: Column) -> Column:
+        turn = F.concat(piece, F.lit(CLOSE))
+        chars = [run(i, k)["chars"].cast("int") for k in range(3)]
+        starts = [F.lit(1), chars[0] + 1, chars[0] + chars[1] + 1]
+        cut = F.concat(*[F.when(run(i, k)["loss"], F.substr(turn, starts[k], chars[k])).otherwise("") for k in range(3)])
+        return F.when(chars[0] + chars[1] + chars[2] == F.length(turn), unescape(cut)).otherwise(F.raise_error(F.lit("loss_runs do not fit the formatted text")).cast("string"))
+
+    fits = F.size("loss_runs") == 3 * n
+    return F.when(fits, F.transform(turns, covered)).otherwise(F.raise_error(F.lit("loss_runs do not fit the formatted text")).cast("array<string>"))
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """The contract's columns from what read_back() gives."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
-    df = df.withColumn("__loss", loss)
+    """The contract's columns from what read_back() gives; the loss is the text under the mask."""
+    df = df.withColumn("__loss", F.array_join(under_mask(), ""))
     return df.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
