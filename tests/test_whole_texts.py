@@ -50,3 +50,12 @@ def test_name_table_of_every_line(spark, tmp_path):
                 cases[w].setdefault(source, i)
     wanted = {w: (first[w], ",".join(s for s in cases[w] if s is not None)) for w in first}
     assert {r.name: (r.status, r.cases) for r in catalogue.q24(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_short_items_are_found_in_documents(spark, tmp_path):
+    texts = ["one two three four five six seven", "xone twox three", "three\nfour five", "one  two", "", None]
+    items = ["one", "one two", "two three four five six", "one two three four five six", "three\nfour", "absent word", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.item_id) for r in catalogue.q25(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(i, k) for i, t in enumerate(texts) for k, b in enumerate(items) if t is not None and b is not None and b in t]

@@ -347,13 +347,18 @@ def q24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q25_contamination", "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '\\s+')) >= 6")
 def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts inside documents: the second to fifth word find the candidates, then the whole text is compared."""
-    items = read(spark, sf_dir, "benchmark").withColumn("w", F.split("text", r"\s+")).where(F.size("w") >= 6)
-    items = items.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice("w", 2, 4)).alias("key"))
+    """Benchmark texts inside documents: the second to fifth word find the candidates, then the whole text is compared.
+
+    Items of fewer than six words have no such key; each document is searched for them.
+    """
+    items = read(spark, sf_dir, "benchmark").where("text IS NOT NULL").withColumn("w", F.split("text", r"\s+"))
+    short = items.where(F.size("w") < 6).select("item_id", F.col("text").alias("passage"))
+    items = items.where(F.size("w") >= 6).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice("w", 2, 4)).alias("key"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL").withColumn("w", F.split("text", r"\s+"))
     keys = F.transform("w", lambda x, i: F.xxhash64(F.slice("w", i + 1, 4)))
     found = docs.withColumn("key", F.explode(F.array_distinct(keys))).join(items, "key")
-    return found.where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    searched = docs.join(F.broadcast(short), F.contains("text", "passage")).select("doc_id", "item_id")
+    return found.where(F.contains("text", "passage")).select("doc_id", "item_id").unionByName(searched).distinct()
 
 
 @query("q26_existence_anti", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
