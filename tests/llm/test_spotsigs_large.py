@@ -1,6 +1,8 @@
 """SpotSigs over ids that doubles can't hold, and the search for similar documents."""
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 
@@ -16,3 +18,25 @@ def test_no_row_is_lost_with_large_ids(spark, start):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert len(got) == len(ids)
     assert {r.doc_id: r.edited_sha256 for r in got} == {i: sha(spotsigs.edited(texts[i], texts[order[(k + 1) % len(order)]])) for k, i in enumerate(order)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8])
+def test_all_similar_pairs_are_found(spark, threshold):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["", None, "the of", "w1"]
+    for _ in range(12):
+        base = [w for x in rng.sample(words, rng.randrange(1, 40)) for w in ("the", x)]
+        for _ in range(6):
+            texts.append(" ".join(w for w in base if rng.random() > rng.choice([0, 0.02, 0.1])))
+    texts += [" ".join(words[:n]) for n in (7, 8, 10, 14, 16, 20)]  # few spots: sets of n words, likeness just at a threshold
+    rng.shuffle(texts)
+    rows = [(i // 2 if i < 4 else None if i == 5 else i, t) for i, t in enumerate(texts)]  # ids occur twice, one is null
+    sets = [(i, set(spotsigs.signatures(t or "").tolist())) for i, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    pair = lambda a, b: tuple(sorted((a, b), key=str))
+    wanted = Counter((*pair(a, b), like(x, y)) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if like(x, y) >= threshold)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(wanted) > 50
+    for salts in (1, 3):
+        assert Counter((*pair(r.doc_id, r.other_id), r.likeness) for r in spotsigs.similar(docs, threshold, salts).collect()) == wanted

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import small_batches, stored, table, text_of
 from .quality_rules import STOP_WORDS
 
 CHAIN = 2
@@ -61,14 +61,14 @@ def fingerprint(spots: np.ndarray) -> str:
 
 def length_partition(length: int, threshold: float) -> int:
     """Sets of a likeness of threshold or more lie in the same partition or in adjacent ones."""
-    return math.floor(math.log(length) / -math.log(threshold)) if length else -1
+    return math.floor(math.log(length) / -math.log(threshold) + 1e-9) if length else -1
 
 
 def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
     """Exact where it reaches threshold; 0 where the lengths rule that out."""
     if not len(a) and not len(b):
         return 1.0
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
         return 0.0
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
@@ -160,5 +160,39 @@ def _compared(doc_id: int | None, text: str, spots: np.ndarray, following: str,
     return doc_id, len(text), _sha(changed), fingerprint(spots), fingerprint(changed_spots), pruned_jaccard(spots, changed_spots), pruned_jaccard(spots, next_spots), len(spots)
 
 
+def similar(docs: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
+    """doc_id, other_id, likeness of all pairs of docs (doc_id, text) whose likeness reaches threshold (above 0, below 1).
+
+    Partitions of set length are joined with themselves and the next one.  Two such sets share one of their least spots,
+    as many as a set may lack plus one, so those alone are keys.  A key's left side is dealt to salts, its right side is
+    repeated for each, so that a common spot is no single task.  Empty sets are like each other.
+    """
+    small_batches(docs.sparkSession)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [signatures(t) for t in batch.column(2).to_pylist()]
+            parts = [length_partition(len(s), threshold) for s in sets]
+            keys = [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1].astype(np.int64) if len(s) else np.array([-1]) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["row", "doc_id", "part", "keys", "spots"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    sets = stored(rows.mapInArrow(signed, "row long, doc_id long, part int, keys array<long>, spots array<long>"), "spots")
+    keyed = sets.select("row", "part", F.explode("keys").alias("key"))
+    left = keyed.select(F.col("row").alias("a"), F.col("part").alias("part_a"), "part", "key", F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"))
+    right = keyed.select(F.col("row").alias("b"), F.col("part").alias("part_b"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "key").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
+    pairs = left.join(right, ["part", "key", "salt"]).where("part_b > part_a OR a < b").select("a", "b").distinct()
+    side = lambda row, i, spots: sets.select(F.col("row").alias(row), F.col("doc_id").alias(i), F.col("spots").alias(spots))
+    both = pairs.join(side("a", "doc_id", "x"), "a").join(side("b", "other_id", "y"), "b").select("doc_id", "other_id", "x", "y")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            likeness = [pruned_jaccard(x[i].values.to_numpy(), y[i].values.to_numpy(), threshold) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness, pa.float64())], ["doc_id", "other_id", "likeness"])
+
+    return both.mapInArrow(compared, "doc_id long, other_id long, likeness double").where(F.col("likeness") >= threshold)
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(table(spark, sf_dir, "documents"))
