@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import slices, table, text_of
 
 #: The pre-tokenizer pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -164,12 +164,11 @@ def _read_all(spark: SparkSession, path: str) -> str:
 def encode_table(docs: DataFrame, vocabulary_path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip, and the ids themselves if asked for."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = spark.sparkContext.broadcast(_read_all(spark, vocabulary_path))
 
     def run(batches):
         codec = codec_of(source.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 ids = codec.encode(t)

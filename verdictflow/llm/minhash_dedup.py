@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stored, table, text_of
+from .common import discard, slices, stored, table, text_of
 from .components import connected_components
 
 POSITIONS, CHUNK = 70, 5
@@ -104,7 +104,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, d1, d2, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, d1, d2, sig = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
@@ -186,7 +186,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     if percent < 80:
         raise ValueError("the signature threshold is set for similarities of 0.8 or more")
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     signed = stored(sign(source, width), "dedup-signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")

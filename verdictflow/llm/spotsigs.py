@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table, text_of
+from .common import slices, stored, table, text_of
 from .quality_rules import STOP_WORDS
 
 CHAIN = 2
@@ -110,7 +110,6 @@ def with_next(docs: DataFrame) -> DataFrame:
     that follows, to the range before; so each range can be walked in order by itself, with two documents in memory.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n, top = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     ranges = max(1, min(MOST, n // ROWS))
@@ -140,7 +139,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for part, role, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0] == part:
@@ -167,10 +166,8 @@ def similar(docs: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
     as many as a set may lack plus one, so those alone are keys.  A key's left side is dealt to salts, its right side is
     repeated for each, so that a common spot is no single task.  Empty sets are like each other.
     """
-    small_batches(docs.sparkSession)
-
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [signatures(t) for t in batch.column(2).to_pylist()]
             parts = [length_partition(len(s), threshold) for s in sets]
             keys = [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1].astype(np.int64) if len(s) else np.array([-1]) for s in sets]
@@ -186,7 +183,7 @@ def similar(docs: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
     both = pairs.join(side("a", "doc_id", "x"), "a").join(side("b", "other_id", "y"), "b").select("doc_id", "other_id", "x", "y")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
             likeness = [pruned_jaccard(x[i].values.to_numpy(), y[i].values.to_numpy(), threshold) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness, pa.float64())], ["doc_id", "other_id", "likeness"])

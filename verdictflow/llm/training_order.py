@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, stored, table, text_of
+from .common import scratch, slices, stored, table, text_of
 
 SEQUENCE = 1024
 PAD = 0xFFFF
@@ -99,7 +99,7 @@ def offsets(docs: DataFrame, pattern: str, source, sequence: int) -> dict[int, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, n = encoder(pattern, source.value).encode_ordinary, 0
-        for batch in batches:
+        for batch in slices(batches):
             n += sum(max(1, -(-len(encode(x)) // sequence)) for x in batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["task", "n"])
 
@@ -122,7 +122,7 @@ def sequences(docs: DataFrame, pattern: str, source, sequence: int, shard: int,
         encode = encoder(pattern, source.value).encode_ordinary
         at, count = known.value[TaskContext.get().partitionId()]
         end = at + count
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.array(encode(x), "<u2") for x in batch.column(1).to_pylist()]
             parts = np.array([max(1, -(-len(x) // sequence)) for x in ids], np.int64)
             n = int(parts.sum())
@@ -184,7 +184,6 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sequence, read back from the written shards: its place and the digest of its ids as read."""
     import public_tokenizers
 
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="ascii") as f:
         source = spark.sparkContext.broadcast(f.read())

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, small_batches, stored, table
+from .common import discard, scratch, slices, stored, table
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_BYTES = 1000
@@ -211,7 +211,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page_id, url, payload, digest, refers_to = row
                 writer = writer or PackageWriter(folder, zip64)
@@ -270,7 +270,6 @@ def _read_block(f: RangeFile, first: int, count: int) -> pa.RecordBatch:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     records, leaders = with_leaders(pages)
     packages = stored(write_packages(records, scratch(spark, "warc")), "warc-packages")
