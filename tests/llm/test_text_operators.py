@@ -212,17 +212,74 @@ def test_feistel():
     assert list(training_order.Feistel(1000, b"k1").slots(np.arange(1000))) != list(training_order.Feistel(1000, b"k2").slots(np.arange(1000)))
 
 
-def test_training_order_resumes(spark, odd, tmp_path):
+def written(spark, docs, folder):
+    """The index of 64-id sequences in shards of 100, and the shards' bytes in the order of their slots."""
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as f:
         source = spark.sparkContext.broadcast(f.read())
-    docs = odd.select("doc_id", common.text_of().alias("text"))
-    pieces, total = training_order.sequences(docs, public_tokenizers.PATTERN, source, 64, 100)
-    index = training_order.write_shards(pieces, f"{tmp_path}/s", sequence=64, shard=100)
-    rows = common.stored(index, "t").collect()
-    assert sorted(r.slot for r in rows) == list(range(total))
-    for r in random.Random(1).sample(rows, 20):
-        (doc_id, part, ids), *_ = training_order.read_from(r.path, r.offset, 1, 64)
-        assert (part, len(ids)) == (r.part, r.length) and (doc_id == r.doc_id or r.doc_id is None)
-    assert training_order.sequences(docs.limit(0), public_tokenizers.PATTERN, source, 64, 100)[0].count() == 0
+    index = training_order.materialise(docs, public_tokenizers.PATTERN, source, folder, 64, 100)
+    found = {r.path for r in index.collect()}
+    return index, b"".join(open(p, "rb").read() for p in sorted(found, key=lambda p: p.rsplit("/", 1)[1]))
+
+
+def test_training_order_holds_every_id_once(spark, odd, tmp_path):
+    """The stream, read in the order that the permutation tells, against the tokenizers library."""
+    import xxhash
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    library.encode_special_tokens = True
+    docs = odd.withColumn("ids", F.lit("clash")).withColumn("slot", F.lit("clash"))
+    docs = docs.unionByName(spark.createDataFrame([(7, f"tie {i} <|endoftext|>", "a", "k", 1, 1, "x", "x") for i in range(300)], docs.schema))
+    _, data = written(spark, docs, f"{tmp_path}/s")
+    n = len(data) // 128
+    slots = training_order.Feistel(n).slots(np.arange(n))
+    stream = np.frombuffer(data, "<u2").reshape(n, 64)[slots].ravel()
+    end = len(stream) - int((stream[-64:] == training_order.PAD).sum())
+    texts = np.split(stream[:end], np.flatnonzero(stream[:end] == 50256) + 1)[:-1]
+    signed = lambda t: int(np.uint64(xxhash.xxh3_64_intdigest(t)).astype(np.int64))
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, signed(r.text or ""), r.text or "") for r in docs.collect())
+    assert len(texts) == len(rows)
+    for got, row in zip(texts, rows, strict=True):
+        assert got[:-1].tolist() == library.encode(row[3], add_special_tokens=False).ids
+
+
+def test_training_order_does_not_follow_the_splits(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 90, f"text {i % 70} of a {'longer ' * (i % 40)}document", i) for i in range(600)], "doc_id long, text string, k long")
+    first = written(spark, docs.coalesce(1), f"{tmp_path}/1")[1]
+    assert first == written(spark, docs.repartition(7, "k"), f"{tmp_path}/7")[1]
+
+
+def test_training_order_resumes(spark, odd, tmp_path):
+    index, data = written(spark, odd, f"{tmp_path}/s")
+    rows = training_order.read_back(index, 100).collect()
+    assert all(r.read_back and r.shard == r.slot // 100 for r in rows) and {r.doc_id for r in rows} == {r[0] for r in ODD}
+    assert sum(r.length for r in rows) + sum(r.length for r in index.where("part < 0").collect()) == len(data) // 2
+    for r in random.Random(1).sample(index.collect(), 20):
+        at = r.slot // 100 * 100 * 128 + r.offset
+        assert training_order.read_from(r.path, r.offset, r.length).tobytes() == data[at : at + 2 * r.length]
+    broken = index.withColumn("crc", F.col("crc") + 1)
+    assert not any(r.read_back for r in training_order.read_back(broken, 100).collect())
+    assert training_order.read_back(written(spark, odd.limit(0), f"{tmp_path}/e")[0]).count() == 0
+
+
+def test_op6_reads_back_whole_table(spark):
+    """The query against the library: each document's pieces, in order, hold its ids and the separator."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    library.encode_special_tokens = True
+    found = defaultdict(list)
+    for r in queries.QUERIES["op6_training_order"](spark, SF_DIR).collect():
+        found[r.doc_id].append(r)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    assert set(found) == set(docs)
+    for doc_id, text in docs.items():
+        ids, at = np.array([*library.encode(text, add_special_tokens=False).ids, 50256], "<u2"), 0
+        for r in sorted(found[doc_id], key=lambda r: r.part):
+            assert r.read_back and r.sha256 == hashlib.sha256(ids[at : at + r.length].tobytes()).hexdigest()
+            at += r.length
+        assert at == len(ids)
