@@ -2,13 +2,15 @@
 
 A linear scan splits a page into blocks of text, each with the elements that it stands in.  A classifier gives every
 block a signed score; positive scores are capacities from the source (content), negative ones to the sink
-(boilerplate); tags and class names are features of it as density of words and links are.  Blocks that follow each other, and neighbours under one parent, are joined by smoothness edges.  The
-minimum cut, found by maximum flow, labels the blocks.  A block whose own capacity exceeds all of its edges is on that
-side of every minimum cut, so it is settled first and its edges are handed to its neighbours as capacities; the flow
-runs over what is left.
-
-Edge cases: null and empty pages have an empty text; pages of any length are read whole, in one pass; a tag or comment
-that never ends swallows the rest, as in browsers; repeated rows are extracted each; an empty table gives an empty
+(boilerplate); tags and class names are features of it as density of words and links are.  Blocks that follow each
+other, and neighbours under one parent, are joined by smoothness edges of the same order as the scores, so a short line
+of an article stays with it and a long advert stays out; between blocks whose marks differ, edges are a tenth as strong.
+The minimum cut, found by maximum flow, labels the blocks.  A block whose own capacity exceeds all of its edges is on
+that side of every minimum cut, so it is settled first and its edges are handed to its neighbours as capacities; the
+flow runs over what is left.
+
+Edge cases: null and empty pages have an empty text; pages of any length are read whole, in one pass, whatever their
+nesting; a tag or comment that never ends swallows the rest, as in browsers; repeated rows are extracted each; an empty table gives an empty
 table; other columns are not read.
 """
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,23 +44,28 @@ BOILERPLATE_WORDS = set(
 CONTENT_WORDS = set("article content post entry story main text body".split())
 #: What an open tag closes by itself.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPES = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot"}
+#: Inside of these, nothing outside is closed.
+SCOPES = set("#root ul ol dl table tbody thead tfoot div article section main body form footer nav aside header blockquote".split())
+CLOSABLE = {t: 1 << i for i, t in enumerate("p li dt dd tr td th".split())}
+ENDED_BY = {t: CLOSABLE["p"] | sum(CLOSABLE[x] for x in CLOSES.get(t, ())) for t in BLOCK_TAGS}
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-MARKED, MAIN, NEXT_TO, SAME_PARENT = 5.0, 3.0, 0.4, 0.6
+MARKED, INSIDE, OUTSIDE, CONTENT = 5.5, 0.9, 2.5, 2.5
+NEXT_TO, SAME_PARENT, CONTRAST = 2.0, 1.5, 0.1
 
 
 class Node:
     """An open element: its flags hold for all that stands in it."""
 
-    __slots__ = ("tag", "parent", "silent", "boiler", "main", "content", "form")
+    __slots__ = ("tag", "parent", "silent", "boiler", "main", "content", "form", "ends")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
+        self.ends = 0 if tag in SCOPES or not parent else parent.ends | CLOSABLE.get(tag, 0)  # what may be closed from here
         silent, boiler, main, content = (parent.silent, parent.boiler, parent.main, parent.content) if parent else (False, False, False, False)
         silent = silent or tag in SILENT_TAGS
         main = main or tag in MAIN_TAGS
@@ -89,10 +96,10 @@ class Node:
 
 
 class Block:
-    __slots__ = ("text", "node", "linked")
+    __slots__ = ("text", "node", "linked", "marked")
 
     def __init__(self, text: str, node: Node, linked: float) -> None:
-        self.text, self.node, self.linked = text, node, linked
+        self.text, self.node, self.linked, self.marked = text, node, linked, node.boiler or node.form
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -101,6 +108,13 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     node = Node("#root", None, "")
     at, n, linked, links, tag_form = 0, len(page), 0, 0, TAG
+    open_tags: Counter[str] = Counter()
+
+    def leave(inner: Node, outer: Node) -> Node:
+        while inner is not outer:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return outer
 
     def flush() -> None:
         nonlocal linked
@@ -151,11 +165,15 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            node = closed(node, tag)
+            if open_tags[tag] > 0:  # one that opens nothing closes nothing
+                ended = node
+                while ended.tag != tag:
+                    ended = ended.parent
+                node = leave(node, ended.parent)
             continue
         if tag in BLOCK_TAGS:
             flush()
-            node = closed_by(node, tag)
+            node = leave(node, closed_by(node, ENDED_BY[tag]))
         if tag == "br":
             say(" ")
         if tag in VOID_TAGS:
@@ -168,24 +186,16 @@ def blocks_of(page: str) -> list[Block]:
             links = 1
         if not m[3].endswith("/") or tag in BLOCK_TAGS:
             node = Node(tag, node, m[3])
+            open_tags[tag] += 1
     flush()
     return out
 
 
-def closed(node: Node, tag: str) -> Node:
-    """The element left open after an end tag; one that opens nothing closes nothing."""
-    at: Node | None = node
-    while at and at.tag != tag:
-        at = at.parent
-    return at.parent if at and at.parent else node
-
-
-def closed_by(node: Node, tag: str) -> Node:
+def closed_by(node: Node, ended: int) -> Node:
     """The element left open where a block starts: it ends an open paragraph, and items end items of their list."""
     at, found = node, node
-    ends = CLOSES.get(tag, set())
-    while at.parent and at.tag not in SCOPES and at.tag not in ("div", "article", "section", "main", "body", "form", "footer", "nav", "aside", "header", "blockquote"):
-        if at.tag == "p" or at.tag in ends:
+    while at.ends & ended:
+        if CLOSABLE.get(at.tag, 0) & ended:
             found = at.parent
         at = at.parent
     return found
@@ -198,19 +208,21 @@ def scores(blocks: list[Block]) -> list[float]:
     they speak against a block.
     """
     words = [b.text.count(" ") + 1 for b in blocks]
-    marked = [b.node.boiler or b.node.form for b in blocks]
-    own = [0.0 if m else w * (1 - min(1.0, b.linked)) for b, w, m in zip(blocks, words, marked, strict=True)]
+    own = [0.0 if b.marked else w * (1 - min(1.0, b.linked)) for b, w in zip(blocks, words, strict=True)]
     has_main = any(b.node.main and not b.node.boiler for b in blocks)
     has_content = not has_main and any(b.node.content and not b.node.boiler for b in blocks)
-    weight = MAIN * (2 * sum(o for o, b in zip(own, blocks, strict=True) if b.node.main) / (sum(own) or 1.0) - 1) if has_main else 0.0
+    share = 2 * sum(o for o, b in zip(own, blocks, strict=True) if b.node.main) / (sum(own) or 1.0) - 1 if has_main else 0.0
+    inside, outside = (INSIDE * share, -OUTSIDE * share) if share >= 0 else (OUTSIDE * share, -INSIDE * share)
     out = []
-    for b, w, m in zip(blocks, words, marked, strict=True):
+    for b, w in zip(blocks, words, strict=True):
         tag = b.node.tag
-        s = -1.2 + 3.0 * min(w, 15) / 15 - 4.0 * b.linked + 0.6 * (b.text[-1:] in ".!?…\"”»") + 1.0 * (tag in ("p", "pre", "blockquote")) + 1.2 * (tag in ("h1", "h2")) - 3.0 * ("©" in b.text)
-        if m:
+        s = -1.8 + 3.0 * min(w, 15) / 15 - 4.0 * b.linked + 0.6 * (b.text[-1:] in ".!?…\"”»") + 1.0 * (tag in ("p", "pre", "blockquote")) + 0.6 * (tag in ("li", "dt", "dd", "td", "th")) + 1.2 * (tag in ("h1", "h2")) - 3.0 * ("©" in b.text)
+        if b.marked:
             s -= MARKED
-        else:
-            s += (weight if b.node.main else -weight) + (2.5 if b.node.content else -2.5) * has_content
+        elif has_main:
+            s += inside if b.node.main else outside
+        elif has_content:
+            s += CONTENT if b.node.content else -CONTENT
         out.append(s)
     return out
 
@@ -218,13 +230,19 @@ def scores(blocks: list[Block]) -> list[float]:
 def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        if i:
-            edges[i - 1, i] = NEXT_TO
+
+    def join(i: int, j: int, c: float) -> None:
+        a, b = blocks[i], blocks[j]
+        alike = a.marked == b.marked and a.node.main == b.node.main
+        edges[i, j] = edges.get((i, j), 0.0) + (c if alike else c * CONTRAST)
+
+    for j, b in enumerate(blocks):
+        if j:
+            join(j - 1, j, NEXT_TO)
         parent = id(b.node.parent or b.node)
         if parent in last:
-            edges[last[parent], i] = edges.get((last[parent], i), 0.0) + SAME_PARENT
-        last[parent] = i
+            join(last[parent], j, SAME_PARENT)
+        last[parent] = j
     return edges
 
 
@@ -236,18 +254,13 @@ def minimum_cut(score: list[float], edges: dict[tuple[int, int], float]) -> list
     for (i, j), c in edges.items():
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
-    side: list[bool | None] = [None] * n
-    todo = deque(range(n))
-    while todo:
-        i = todo.popleft()
-        if side[i] is not None or abs(excess[i]) <= sum(near[i].values()):
-            continue
-        side[i] = excess[i] > 0
-        for j, c in near[i].items():
-            excess[j] += c if side[i] else -c
-            del near[j][i]
-            todo.append(j)
-        near[i] = {}
+    side: list[bool | None] = [e > 0 if abs(e) > sum(c.values()) else None for e, c in zip(excess, near, strict=True)]
+    for i in range(n):
+        if side[i] is not None:
+            for j, c in near[i].items():
+                excess[j] += c if side[i] else -c
+                del near[j][i]
+            near[i] = {}
     left = [i for i in range(n) if side[i] is None]
     if left:
         flow = Flow(len(left) + 2)
