@@ -117,7 +117,7 @@ def brute_targets(sizes, max_epochs=3):
 
 def test_mixing(spark, odd):
     rows = [(i, "w " * (i % 37 + 1) if i % 11 else None, ("a", "b", "c", None, "é", "z")[i % 6] if i % 5 else "hot") for i in range(1200)] + [(9000 + i, "x y", "tiny") for i in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "source", common.n_words_of(common.text_of()).alias("size"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "source", common.n_words_of(common.text_of()).alias("size"), F.xxhash64("text").alias("content"))
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
@@ -129,11 +129,51 @@ def test_mixing(spark, odd):
         assert r["__repeats"] <= 3 and r["__target"] == pytest.approx(targets[r.source])
     for s, t in targets.items():
         assert abs(taken[s] - t) <= 40, s
-    assert sorted(map(tuple, mixing.mix(docs).collect())) if False else Counter((r.doc_id, r["__repeats"]) for r in mixing.mix(docs).collect()) == Counter((r.doc_id, r["__repeats"]) for r in out)
+    assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, out))
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.stage(spark, odd, SF_DIR).columns == odd.columns
 
 
+def test_mixing_reruns_agree_on_repeated_and_null_ids(spark, tmp_path, monkeypatch):
+    """The query on three orders of rows that share a doc_id, or have none, at different sizes; against its contract."""
+    rows = [(7 if i % 2 else None, "w " * (i % 41 + 1) + str(i % 200), "abc"[i % 3], {"k": str(i)}) for i in range(400)] + [(9, None, None, None), (9, "", "a", None)]
+    results = []
+    for k in range(3):
+        random.Random(k).shuffle(rows)
+        spark.createDataFrame(rows, "doc_id long, text string, source string, size map<string,string>").repartition(k + 1).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        results.append(Counter(map(tuple, mixing.op4_mixing(spark, f"{tmp_path}/{k}").collect())))
+        staged = mixing.stage(spark, spark.read.parquet(f"{tmp_path}/{k}/documents.parquet"), "")
+        results.append(Counter((r.doc_id, r.text, r.source) for r in staged.collect()))
+    assert results[0] == results[2] == results[4] and results[1] == results[3] == results[5]
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for i, t, s, _ in rows:
+        sizes[s] += len((t or "").split())
+    for (i, t, s), n in results[1].items():
+        taken[s] += n * len(t.split())
+    targets = brute_targets(dict(sizes))
+    assert sum(n for _, n in results[0].items()) == len(rows) and all(abs(taken[s] - t) <= 43 for s, t in targets.items())
+
+
+def test_op4_against_brute_force(spark):
+    """Sizes, source sizes and targets of the query on a whole table, and words taken near the targets."""
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    words = lambda t: len([w for w in (t or "").translate({i: 32 for i in (9, 10, 11, 12, 13)}).split(" ") if w])
+    sizes, of = defaultdict(int), {}
+    for r in rows:
+        sizes[r.source] += words(r.text)
+        of[r.doc_id] = (words(r.text), r.source)
+    targets, taken = brute_targets(dict(sizes)), defaultdict(int)
+    found = mixing.op4_mixing(spark, SF_DIR).collect()
+    assert sorted(r.doc_id for r in found) == sorted(of)
+    for r in found:
+        size, source = of[r.doc_id]
+        assert (r.size, r.source_size) == (size, sizes[source]) and r.target == pytest.approx(targets[source])
+        assert 0 <= r.taken <= 3 * size and r.taken == size * r.repeats
+        taken[source] += r.taken
+    longest = max(n for n, _ in of.values())
+    assert all(abs(taken[s] - t) <= longest for s, t in targets.items())
+
+
 def test_warc(spark, tmp_path):
     long = "<p>é" + "x" * 1200
     rows = [(1, "u", long), (2, "u\r\nInjected: x", long), (3, None, None), (4, "u", "short"), (5, "u", "short"), (None, "u", long)]

@@ -10,9 +10,9 @@ still due, by rank of a seeded hash, and hands its remainder on, so a source's t
 of its target.  Ranks are counted per (source, class, hash bucket), so a source with a third of all rows is dealt over
 many tasks.
 
-Edge cases: a null text has size 0; null sources form one source, last in order; a null doc_id hashes as one key of its
-own; repeated rows are documents of their own, ties among them are broken arbitrarily but equal rows count equally; an
-empty table gives an empty table; other columns pass through ``mix`` untouched.
+Edge cases: a null text has size 0; null sources form one source, last in order; rows with one doc_id, or none, are
+documents of their own, told apart by a hash of their content, so reruns agree whatever the rows' order; equal rows are
+interchangeable; an empty table gives an empty table; other columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -78,12 +78,20 @@ def class_quotas(cells: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return classes.groupBy("__source").applyInPandas(of_source, "__source string, __class int, __quota long")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = SEED, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """docs with __source_size, __target, __repeats.  Reads docs twice; its other columns move once."""
+def content_hash(docs: DataFrame) -> Column:
+    """Of all columns that can be hashed: what tells rows of one doc_id apart."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", content: str = "content", seed: int = SEED, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """docs with __source_size, __target, __repeats.  Reads docs twice; its other columns move once.
+
+    The column named by content is a hash of what tells rows of one key apart.
+    """
     rows = docs.withColumns({
         "__source": source_key(F.col(source)),
         "__class": F.floor(F.log2(F.col(size) + 1) * 8).cast("int"),
-        "__hash": F.xxhash64(F.lit(seed), F.col(key)),
+        "__hash": F.xxhash64(F.lit(seed), F.col(key), F.col(content)),
     }).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)).cast("int"))
     cells = stored(rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words")), "mix-cells")
     sizes = cells.groupBy("__source").agg(F.sum("words").alias("source_size"))
@@ -99,19 +107,19 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
         "mix-plan",
     )
     discard(cells, weighted)
-    place = F.row_number().over(Window.partitionBy(*CELL).orderBy("__hash"))
+    place = F.row_number().over(Window.partitionBy(*CELL).orderBy("__hash", key, size, content))
     more = (F.col("__before") + F.col("__place") <= F.col("__quota")).cast("long")
     out = rows.withColumn("__place", place).join(plan, CELL).withColumn("__repeats", F.col("__whole") + more)
     return out.drop(*CELL, "__hash", "__place", "__before", "__quota", "__whole")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words_of(text_of()).alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words_of(text_of()).alias("size"), F.xxhash64("text").alias("content"))
     return mix(docs).select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__repeats")).alias("taken"), F.col("__repeats").alias("repeats"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__key"), F.col("source").alias("__of"), n_words_of(text_of()).alias("__size"))
-    out = mix(rows, "__key", "__of", "__size").where("__repeats > 0")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__key"), F.col("source").alias("__of"), n_words_of(text_of()).alias("__size"), content_hash(docs).alias("__content"))
+    out = mix(rows, "__key", "__of", "__size", "__content").where("__repeats > 0")
     return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))).select("__row.*")
