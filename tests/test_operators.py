@@ -1,11 +1,13 @@
 """Operators over inputs of their own."""
 
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdictflow.operators import cascade, corpus, diffs, imports, manifests, scoring
-from verdictflow.plans.scan import decisions
+from verdictflow.plans.scan import ORDER, decisions, scan
 from verdictflow.sources import readers
 from verdictflow.streaming.watch import watch
 
@@ -54,11 +56,50 @@ def test_extras_end_an_array_unless_kept(spark):
     assert names(keep_extras=True) == ["one", "two"]
 
 
+def test_lexer_takes_linear_time():
+    block = "x = [\n" + "    1, 'import no', {'a': (2)},\n" * 16_000 + "]\nimport yes\n"
+    started = time.perf_counter()
+    assert [m for _, _, m in imports.imports_of(block)] == ["yes"]
+    assert [m for _, _, m in imports.imports_of("f(\n" + "\n" * 16_000 + "x)\nimport yes\n")] == ["yes"]
+    assert [m for _, _, m in imports.imports_of("from __future__ import annotations\nif x: import a; from b import c\nelse: import d\n")] == ["a", "b", "d"]
+    assert time.perf_counter() - started < 2
+
+
+def scan_plan(spark):
+    diffs = spark.createDataFrame([("t", "x")], "case_id string, diff string")
+    return decisions(spark, diffs, spark.createDataFrame([], readers.REGISTRY))._jdf.queryExecution()
+
+
+def test_scan_reads_its_lines_once(spark):
+    """The lines' own plan is one exchange; the branches read what was kept and broadcast only the fixed lists."""
+    plan = scan_plan(spark).executedPlan().toString()
+    above = "\n".join(x for x in plan.splitlines())
+    assert plan.count("InMemoryTableScan") >= 3
+    assert above.count("Exchange hashpartitioning") <= 15
+
+
+def test_order_and_domain_of_decisions(spark):
+    text = "".join([
+        "diff --git a/b/requirements.txt b/b/requirements.txt\n--- /dev/null\n+++ b/b/requirements.txt\n@@ -0,0 +1,2 @@\n+two\n+one\n",
+        "diff --git a/tests/data/x.py b/tests/data/x.py\n--- /dev/null\n+++ b/tests/data/x.py\n@@ -0,0 +1 @@\n+import hidden\n",
+        "diff --git a/a.py b/a.py\n--- /dev/null\n+++ b/a.py\n@@ -0,0 +1,3 @@\n+import zz, os, aa\n+from . import q\n+import gone\n",
+    ])
+    reg = spark.createDataFrame([(n, 404, False, "d") for n in ("one", "zz", "gone")] + [("two", 200, True, "d")], readers.REGISTRY)
+    table = spark.createDataFrame([("t", text)], "case_id string, diff string")
+    got = decisions(spark, table, reg).orderBy(*ORDER)
+    assert [(r.top or "-", r.reason) for r in got.collect()] == [
+        ("two", "registry-hit/manifest"), ("one", "registry-404/manifest"), ("-", "fixture-data"), ("zz", "registry-404"), ("os", "stdlib"), ("aa", "unverified"), ("-", "relative"), ("gone", "registry-404"),
+    ]
+    assert [r.name for r in scan(spark, table, reg).orderBy("ord").collect()] == ["one", "zz", "gone"]
+    with pytest.raises(Exception, match="no such decision"):
+        cascade.closed(got.withColumn("reason", F.lit("other"))).collect()
+
+
 def test_fixture_files_give_no_candidates(spark):
     text = "diff --git a/tests/fixtures/a.py b/tests/fixtures/a.py\n--- /dev/null\n+++ b/tests/fixtures/a.py\n@@ -0,0 +1 @@\n+import nowhere\n"
     reg = spark.createDataFrame([("nowhere", 404, False, "2024-01-01")], readers.REGISTRY)
-    found, declared = decisions(spark, spark.createDataFrame([("t", text)], "case_id string, diff string"), reg)
-    assert found.count() == 0 and declared.count() == 0
+    got = decisions(spark, spark.createDataFrame([("t", text)], "case_id string, diff string"), reg).collect()
+    assert [(r.kind, r.file, r.verdict, r.reason) for r in got] == [("file", "tests/fixtures/a.py", "suppress", "fixture-data")]
 
 
 def test_wrong_file_is_no_false_positive_once_credited(spark):

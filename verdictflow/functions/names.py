@@ -11,6 +11,8 @@ TEST_ROOTS = ("test", "tests", "testing")
 # Directories that a repository listing leaves out.
 SKIPPED_DIRS = (".git", ".hg", ".svn", ".tox", ".nox", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "build", "dist", ".eggs", "site-packages")
 MAX_DEPTH = 5
+# File names that declare dependencies.
+MANIFESTS = r"(^|/)pyproject\.toml$|(^|/)requirements[^/]*\.txt$|(^|/)requirements/[^/]+\.txt$"
 
 
 def normalize(name: Column) -> Column:
@@ -57,7 +59,7 @@ def is_python(path: Column) -> Column:
 
 
 def is_manifest(path: Column) -> Column:
-    return path.rlike(r"(^|/)pyproject\.toml$|(^|/)requirements[^/]*\.txt$|(^|/)requirements/[^/]+\.txt$")
+    return path.rlike(MANIFESTS)
 
 
 def skipped(path: Column) -> Column:

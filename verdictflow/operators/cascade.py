@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import dirname, normalize
 
 VERDICTS = ("suppress", "fire", "silent")
+FIXTURE = "fixture-data"
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,14 @@ QA_RULES = (
 )
 
 
+def closed(decisions: DataFrame) -> DataFrame:
+    """decisions, or an error if a verdict and reason are not among those that the rules can give."""
+    known = {(r.verdict, r.reason) for rules in (IMPORT_RULES, DEPENDENCY_RULES, QA_RULES) for r in rules} | {("suppress", FIXTURE), ("suppress", "adjudicated-keep")}
+    found = F.concat_ws(" ", F.coalesce("verdict", F.lit("null")), F.coalesce("reason", F.lit("null")))
+    inside = found.isin(sorted(" ".join(x) for x in known))
+    return decisions.withColumn("verdict", F.when(inside, F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("no such decision: "), found)).cast("string")))
+
+
 def decide(candidates: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     verdict, reason = F, F
     for r in rules:
@@ -70,27 +79,39 @@ def registry_status(exists: Column) -> Column:
     return F.when(exists, "exists").when(~exists, "absent").otherwise("unknown")
 
 
-def lookup(candidates: DataFrame, registry: DataFrame, dist: str = "dist") -> DataFrame:
-    """candidates with registry = exists, absent or unknown, by normalised name."""
-    known = registry.select(normalize(F.col("name")).alias("__norm"), "exists").groupBy("__norm").agg(F.bool_or("exists").alias("__exists"))
+def distinct_names(candidates: DataFrame, dist: str = "dist") -> DataFrame:
+    """norm: each normalised name once, as many lookups as a source without a table would get."""
+    return candidates.select(normalize(F.col(dist)).alias("norm")).where("norm <> ''").distinct()
+
+
+def lookup(candidates: DataFrame, registry: DataFrame, dist: str = "dist", known_once: bool = False) -> DataFrame:
+    """candidates with registry = exists, absent or unknown, by normalised name.
+
+    With known_once the registry has one row per normalised name already, and is not grouped.  A name that very many
+    candidates share is a skewed partition of the candidates' side, which Spark splits.
+    """
+    known = registry.select(normalize(F.col("name")).alias("__norm"), F.col("exists").alias("__exists"))
+    if not known_once:
+        known = known.groupBy("__norm").agg(F.bool_or("__exists").alias("__exists"))
     joined = candidates.withColumn("__norm", normalize(F.col(dist))).join(known, "__norm", "left")
     return joined.withColumn("registry", registry_status(F.col("__exists"))).drop("__norm", "__exists")
 
 
-def resolve_imports(candidates: DataFrame, stdlib: DataFrame, aliases: DataFrame, registry: DataFrame, first_party: DataFrame, repo_top: DataFrame | None = None, siblings: DataFrame | None = None, rules: tuple[Rule, ...] = IMPORT_RULES) -> DataFrame:
+def resolve_imports(candidates: DataFrame, stdlib: DataFrame, aliases: DataFrame, registry: DataFrame, first_party: DataFrame, repo_top: DataFrame | None = None, siblings: DataFrame | None = None, rules: tuple[Rule, ...] = IMPORT_RULES, known_once: bool = False) -> DataFrame:
     """candidates (case_id, kind, top, file, ...) with dist, verdict and reason.
 
     first_party: (case_id, top); repo_top: (case_id, top); siblings: (case_id, dir, top).  Without a repository the
-    flags are false.
+    flags are false.  stdlib and aliases are fixed lists of a few hundred distinct names, so they are broadcast.
     """
-    df = flag(candidates, stdlib.select(F.col("name").alias("top")), ["top"], "in_stdlib")
+    df = candidates.join(F.broadcast(stdlib.select(F.col("name").alias("top"), F.lit(True).alias("__std"))), "top", "left")
+    df = df.withColumn("in_stdlib", F.coalesce("__std", F.lit(False))).drop("__std")
     df = flag(df, first_party, ["case_id", "top"], "in_first_party")
     df = flag(df, repo_top, ["case_id", "top"], "in_repo") if repo_top is not None else df.withColumn("in_repo", F.lit(False))
     df = df.withColumn("dir", dirname(F.col("file")))
     df = flag(df, siblings, ["case_id", "dir", "top"], "in_sibling") if siblings is not None else df.withColumn("in_sibling", F.lit(False))
-    df = df.join(aliases.withColumnRenamed("import_name", "top").withColumnRenamed("dist", "__dist"), "top", "left")
+    df = df.join(F.broadcast(aliases.withColumnRenamed("import_name", "top").withColumnRenamed("dist", "__dist")), "top", "left")
     df = df.withColumn("aliased", F.col("__dist").isNotNull()).withColumn("dist", F.coalesce("__dist", "top")).drop("__dist")
-    return decide(lookup(df, registry), rules)
+    return decide(lookup(df, registry, known_once=known_once), rules)
 
 
 def adjudicate(decisions: DataFrame, adjudicated: DataFrame) -> DataFrame:
@@ -104,8 +125,8 @@ def adjudicate(decisions: DataFrame, adjudicated: DataFrame) -> DataFrame:
     return df.withColumns({"verdict": F.when(kept, "suppress").otherwise(F.col("verdict")), "reason": F.when(kept, "adjudicated-keep").otherwise(F.col("reason"))}).drop("__by_top", "__by_name")
 
 
-def resolve_dependencies(candidates: DataFrame, registry: DataFrame) -> DataFrame:
-    return decide(lookup(candidates.withColumn("dist", F.col("top")), registry), DEPENDENCY_RULES)
+def resolve_dependencies(candidates: DataFrame, registry: DataFrame, known_once: bool = False) -> DataFrame:
+    return decide(lookup(candidates.withColumn("dist", F.col("top")), registry, known_once=known_once), DEPENDENCY_RULES)
 
 
 def histogram(decisions: DataFrame, weight: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ DEPENDENCY_KEYS = ("dependencies", "optional-dependencies")
 DEPENDENCY_TABLES = ("project.optional-dependencies", "dependency-groups", "build-system")
 POETRY_TABLE = r"^tool\.poetry\.(dependencies|dev-dependencies|group\.[^.]+\.dependencies)$"
 
+# The line shapes of TOML tables, keys and strings that these rules tell apart, and a distribution's name.
+NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*"
 HEADER = r"^\s*\[{1,2}([^\[\]]+)\]{1,2}\s*$"
 OPENER = r"^\s*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*=\s*\["
 PAIR = r"^\s*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*="
@@ -19,7 +21,7 @@ QUOTED = r"[\"']([^\"']+)[\"']"
 def distribution(spec: Column) -> Column:
     """The name at the start of a requirement; null for addresses, paths and anything else."""
     s = F.trim(F.regexp_replace(F.trim(spec), "[\"']", ""))
-    name = F.regexp_extract(s, r"^[A-Za-z0-9][A-Za-z0-9._-]*", 0)
+    name = F.regexp_extract(s, NAME, 0)
     refused = (s == "") | s.contains("://") | s.contains(" @ ") | s.contains("/") | s.startswith(".") | s.startswith("-") | (name == "")
     return F.when(~refused, name)
 
@@ -35,7 +37,9 @@ def requirements(added: DataFrame, text: str = "text") -> DataFrame:
 
 
 def toml_dependencies(lines: DataFrame, keep_extras: bool = False) -> DataFrame:
-    """lines (case_id, file_id, hunk_id, pos, kind, text, section) of TOML files; the dependencies of added lines.
+    """lines (case_id, file_id, hunk_id, pos, kind, text, section, ...) of TOML files; the dependencies of added lines.
+
+    The result has the columns of the line, k (the item's place in it) and name.
 
     Each transition of the (table, key) state sets a constant, so the state before a line is the last event before it;
     the hunk's heading is the first event.  By default a bracket inside an item ends its array, as in the strict rule;
@@ -44,7 +48,7 @@ def toml_dependencies(lines: DataFrame, keep_extras: bool = False) -> DataFrame:
     shown = lines.where("kind <> 'deleted'")
     heading = shown.groupBy("case_id", "file_id", "hunk_id").agg(F.min("pos").alias("pos"), F.first("section").alias("text"))
     heading = heading.withColumn("pos", F.col("pos") - 1).withColumn("kind", F.lit("heading"))
-    rows = shown.select("case_id", "file_id", "hunk_id", "pos", "kind", "text").unionByName(heading.select("case_id", "file_id", "hunk_id", "pos", "kind", "text"))
+    rows = shown.unionByName(heading, allowMissingColumns=True)
     t = F.col("text")
     plain = F.regexp_replace(t, QUOTED, "") if keep_extras else t
     closes = plain.contains("]")
@@ -68,4 +72,4 @@ def toml_dependencies(lines: DataFrame, keep_extras: bool = False) -> DataFrame:
         .when(F.col("table").rlike(POETRY_TABLE) & (pair != "") & (pair != "python"), F.array(pair))
         .otherwise(none)
     )
-    return rows.where("kind = 'added'").withColumn("name", F.explode(emitted)).where("name IS NOT NULL").select("case_id", "file_id", "hunk_id", "pos", "name")
+    return rows.where("kind = 'added'").select("*", F.posexplode(emitted).alias("k", "name")).where("name IS NOT NULL").drop("table", "key")

@@ -61,8 +61,8 @@ def report_json(tool: str, match: str, cases: DataFrame, truths: DataFrame, find
     return out.select(F.concat(head, F.lit(',"corpora":['), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit('],"total":'), F.coalesce("total", F.lit(none)), F.lit("}")).alias("body"))
 
 
-def findings(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """The fired rows of both paths, with messages."""
+def findings(decisions: DataFrame) -> DataFrame:
+    """The fired decisions with messages; ord is their order in the case."""
     said = F.concat(F.lit("'"), "top", F.lit("' is "), F.when(F.col("kind") == "requirement", "required").otherwise("imported"), F.lit(", but the registry has no such name (looked up as "), "dist", F.lit(")"))
-    cols = ["case_id", F.col("top").alias("name"), "file", "line", "kind", "verdict", "reason", said.alias("message")]
-    return imports.select(*cols).unionByName(dependencies.select(*cols)).where("verdict = 'fire'").drop("verdict", "reason")
+    kind = F.when(F.col("kind") == "requirement", "requirement").otherwise("import")
+    return decisions.where("verdict = 'fire'").select("case_id", F.struct("file_id", "part", "pos", "k").alias("ord"), F.col("top").alias("name"), "file", "line", kind.alias("kind"), said.alias("message"), "evidence")

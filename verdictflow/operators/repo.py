@@ -29,9 +29,22 @@ def top_level(listing: DataFrame) -> DataFrame:
 
 
 def first_party(files: DataFrame) -> DataFrame:
-    """(case_id, top) that the changed files of a case provide."""
-    paths = files.select("case_id", F.explode(F.array("old_path", "new_path")).alias("path")).where("path IS NOT NULL AND path <> ''")
-    return paths.select("case_id", top_component(F.col("path")).alias("top")).distinct()
+    """(case_id, top) that the files of a case provide after the change."""
+    return files.where("new_path <> ''").select("case_id", top_component(F.col("new_path")).alias("top")).distinct()
+
+
+def first_party_of_repo(files: DataFrame, repos: DataFrame, listed: DataFrame, known: DataFrame) -> DataFrame:
+    """(repo, top) of all cases of a repository together: from changed files, its listing and names known beforehand.
+
+    repos: (case_id, repo); listed: (repo, top) of the root and src; known: (repo, top).
+    """
+    changed = first_party(files).join(repos, "case_id").select("repo", "top")
+    return changed.unionByName(listed.select("repo", "top")).unionByName(known.select("repo", "top")).distinct()
+
+
+def preferred(captured: DataFrame, checkout: DataFrame) -> DataFrame:
+    """Of two relations (ctx_id, ...): the captured rows, and a checkout's where nothing was captured of a ctx_id."""
+    return captured.unionByName(checkout.join(captured.select("ctx_id").distinct(), "ctx_id", "left_anti"))
 
 
 def touched(listed: DataFrame, changed: DataFrame) -> DataFrame:

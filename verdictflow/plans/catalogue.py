@@ -39,7 +39,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 TOKENS_SQL = """tok AS (
-  SELECT DISTINCT doc_id, source, lang, unnest(regexp_split_to_array(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^a-z]+')) AS token FROM documents
+  SELECT DISTINCT doc_id, source, lang, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')) AS token FROM documents
 ), t AS (SELECT * FROM tok WHERE token <> ''), reg AS (
   SELECT DISTINCT unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')) AS token FROM benchmark
 ), fp AS (SELECT source, token FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) > 1)"""
@@ -122,13 +122,23 @@ def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.diff_stats(inline.DIFFS.frame(spark))
 
 
+#: Lines that only look like headers, a deleted file, lines before the first header, and what reads imports differently.
+COARSE = inline.Inline("case_id string, diff string", [
+    *inline.DIFFS.rows,
+    ("odd", "+import early\n++x;\ndiff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n@@ -1 +1,9 @@\n+import numpy as np, pandas\n+import os , sys,json # all\n+from .near import x\n+from pkg.sub import y\n++import plus\n+  import inner\n+import os\n+import\n+from x import\n"),
+    ("removed", "diff --git a/old.py b/old.py\n--- a/old.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-import a\n+import ghost\n"),
+    ("needs", "diff --git a/requirements-dev.txt b/requirements-dev.txt\n--- a/requirements-dev.txt\n+++ b/requirements-dev.txt\n@@ -0,0 +1,9 @@\n+Left_Pad==1.0\n+  six\n+# note\n+-r other.txt\n+git+https://h/x\n+name @ file\n+yaml>=2 ; python_version > '3'\n+\"Quoted>=1\",\n+left.pad\n"),
+    ("conf", "diff --git a/setup.cfg b/setup.cfg\n--- a/setup.cfg\n+++ b/setup.cfg\n@@ -0,0 +1,3 @@\n+    left-pad>=1,\n+    yaml\n+name = yaml\n"),
+])
+
+
 @query("q05b_coarse_added", f"""
-WITH raw AS (SELECT case_id, g - 1 AS pos, ls[g] AS raw FROM (SELECT case_id, ls, unnest(range(1, len(ls) + 1)) AS g FROM (SELECT case_id, string_split(diff, chr(10)) AS ls FROM {inline.DIFFS.sql()}))),
-p AS (SELECT *, last_value(CASE WHEN starts_with(raw, '+++ b/') THEN raw[7:] WHEN starts_with(raw, '+++ ') THEN '' END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY pos) AS path FROM raw)
-SELECT case_id, pos::BIGINT AS pos, path, raw[2:] AS content FROM p WHERE starts_with(raw, '+') AND NOT starts_with(raw, '++') AND coalesce(path, '') <> ''
+WITH raw AS (SELECT case_id, g - 1 AS pos, ls[g] AS raw FROM (SELECT case_id, ls, unnest(range(1, len(ls) + 1)) AS g FROM (SELECT case_id, string_split(diff, chr(10)) AS ls FROM {COARSE.sql()}))),
+p AS (SELECT *, nullif(last_value(CASE WHEN starts_with(raw, '+++ b/') THEN raw[7:] WHEN starts_with(raw, '+++ ') THEN '' END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY pos), '') AS path FROM raw)
+SELECT case_id, pos::BIGINT AS pos, path, raw[2:] AS content FROM p WHERE starts_with(raw, '+') AND NOT starts_with(raw, '+++')
 """)
 def q05b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.coarse_added(inline.DIFFS.frame(spark)).withColumn("pos", F.col("pos").cast("long"))
+    return diffs.coarse_added(COARSE.frame(spark)).withColumn("pos", F.col("pos").cast("long"))
 
 
 FILES_EXPECTED = inline.Inline("case_id string, file_id long, old_path string, new_path string, is_new boolean, is_deleted boolean, is_binary boolean", [
@@ -166,18 +176,26 @@ def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.toml_dependencies(diffs.body_lines(lines).join(toml, ["case_id", "file_id"])).select("case_id", F.col("pos").cast("long").alias("pos"), "name")
 
 
+#: Added lines with their files, by the rule of q05b.
+ADDED_SQL = f"""raw AS (SELECT case_id, g - 1 AS pos, ls[g] AS raw FROM (SELECT case_id, ls, unnest(range(1, len(ls) + 1)) AS g FROM (SELECT case_id, string_split(diff, chr(10)) AS ls FROM {COARSE.sql()}))),
+p AS (SELECT *, nullif(last_value(CASE WHEN starts_with(raw, '+++ b/') THEN raw[7:] WHEN starts_with(raw, '+++ ') THEN '' END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY pos), '') AS path FROM raw),
+a AS (SELECT case_id, pos::BIGINT AS pos, path, raw[2:] AS content FROM p WHERE starts_with(raw, '+') AND NOT starts_with(raw, '+++'))"""
+
+
 @query("q08_imports_regex", f"""
-WITH raw AS (SELECT case_id, g - 1 AS pos, ls[g] AS raw FROM (SELECT case_id, ls, unnest(range(1, len(ls) + 1)) AS g FROM (SELECT case_id, string_split(diff, chr(10)) AS ls FROM {inline.DIFFS.sql()}))),
-a AS (SELECT case_id, pos::BIGINT AS pos, raw[2:] AS content FROM raw WHERE starts_with(raw, '+') AND NOT starts_with(raw, '++')),
+WITH {ADDED_SQL}, f AS (SELECT *, ends_with(path, '.py') AS py, regexp_matches(path, '(^|/)requirements[^/]*[.]txt$') AS req, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS spec,
+  regexp_extract(content, '^\\s*import\\s+([A-Za-z_][\\w.]*(?:\\s*,\\s*[A-Za-z_][\\w.]*)*)', 1) AS imp, regexp_extract(content, '^\\s*from\\s+([A-Za-z_.][\\w.]*)\\s+import\\b', 1) AS org FROM a),
 n AS (
-  SELECT case_id, pos, trim(split_part(trim(x), ' as ', 1)) AS name, 'import' AS kind FROM (SELECT case_id, pos, unnest(string_split(regexp_extract(content, '^\\s*import\\s+(.+)$', 1), ',')) AS x FROM a) WHERE x <> ''
-  UNION ALL SELECT case_id, pos, regexp_extract(content, '^\\s*from\\s+([.]*[A-Za-z0-9_.]*)\\s+import', 1) AS name, 'from' FROM a WHERE regexp_matches(content, '^\\s*from\\s+[.]*[A-Za-z0-9_.]*\\s+import')
+  SELECT case_id, pos, unnest(regexp_split_to_array(imp, '\\s*,\\s*')) AS name, unnest(range(len(regexp_split_to_array(imp, '\\s*,\\s*')))) AS k, 'import' AS kind FROM f WHERE py AND imp <> ''
+  UNION ALL SELECT case_id, pos, org, 0, CASE WHEN starts_with(org, '.') THEN 'relative' ELSE 'from-import' END FROM f WHERE py AND imp = '' AND org <> ''
+  UNION ALL SELECT case_id, pos, regexp_extract(spec, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1), 0, 'requirement' FROM f
+    WHERE req AND NOT py AND spec[1] NOT IN ('#', '-') AND NOT contains(spec, '://') AND NOT contains(spec, ' @ ') AND regexp_matches(spec, '^[A-Za-z0-9]')
 )
-SELECT case_id, pos, name, CASE WHEN starts_with(name, '.') THEN 'relative' WHEN kind = 'from' THEN 'from-import' ELSE 'import' END AS kind, CASE WHEN starts_with(name, '.') THEN '' ELSE split_part(name, '.', 1) END AS top FROM n
+SELECT case_id, pos, k::INT AS k, name, kind, CASE kind WHEN 'relative' THEN '' WHEN 'requirement' THEN {norm_sql("name")} ELSE split_part(name, '.', 1) END AS top FROM n
 """)
 def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = diffs.coarse_added(inline.DIFFS.frame(spark))
-    return imports.pattern_imports(lines).select("case_id", F.col("pos").cast("long").alias("pos"), "name", "kind", "top")
+    lines = diffs.coarse_added(COARSE.frame(spark))
+    return imports.qa_candidates(lines).select("case_id", F.col("pos").cast("long").alias("pos"), "k", "name", "kind", "top")
 
 
 SOURCES = inline.Inline("case_id string, text string", [
@@ -194,7 +212,7 @@ LEXED = inline.Inline("case_id string, kind string, module string, top string, l
 @query("q09_imports_lexed", f"SELECT * FROM {LEXED.sql()}")
 def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("text"), (i + 1).alias("new_line"), F.lit(True).alias("added")))
-    images = SOURCES.frame(spark).select("case_id", F.lit("x.py").alias("file"), rows.alias("rows"))
+    images = SOURCES.frame(spark).select("case_id", F.lit(1).alias("file_id"), F.lit("x.py").alias("file"), rows.alias("rows"))
     return imports.lexed_imports(images).select("case_id", "kind", "module", "top", F.col("line").cast("long").alias("line"))
 
 
@@ -345,7 +363,7 @@ def q24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.name_table(rows, ["name"], "doc_id").select("name", "status", F.array_join("cases", ",").alias("cases"))
 
 
-@query("q25_contamination", "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '\\s+')) >= 6")
+@query("q25_contamination", "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts inside documents: the second to fifth word find the candidates, then the whole text is compared.
 
@@ -356,9 +374,10 @@ def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.where(F.size("w") >= 6).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice("w", 2, 4)).alias("key"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL").withColumn("w", F.split("text", r"\s+"))
     keys = F.transform("w", lambda x, i: F.xxhash64(F.slice("w", i + 1, 4)))
-    found = docs.withColumn("key", F.explode(F.array_distinct(keys))).join(items, "key")
-    searched = docs.join(F.broadcast(short), F.contains("text", "passage")).select("doc_id", "item_id")
-    return found.where(F.contains("text", "passage")).select("doc_id", "item_id").unionByName(searched).distinct()
+    found = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    found = found.join(items.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    searched = docs.join(short, F.contains("text", "passage")).select("doc_id", "item_id")
+    return found.unionByName(searched).distinct()
 
 
 @query("q26_existence_anti", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -418,13 +437,14 @@ def q32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q33_merge_upsert", """
-WITH o AS (SELECT user_id, count(*)::BIGINT AS n FROM events WHERE event_id % 3 <> 0 AND user_id % 5 <> 1 GROUP BY 1), w AS (SELECT user_id, count(*)::BIGINT AS n FROM events WHERE event_id % 3 <> 1 AND user_id % 7 <> 1 GROUP BY 1)
+WITH o AS (SELECT user_id, count(*)::BIGINT AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), w AS (SELECT user_id, count(*)::BIGINT AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
 SELECT user_id, CASE WHEN o.n IS NULL THEN 'insert' WHEN w.n IS NULL THEN 'delete' WHEN o.n = w.n THEN 'keep' ELSE 'update' END AS action, coalesce(w.n, o.n) AS n FROM o FULL JOIN w USING (user_id)
 """)
 def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as two runs, before and since a date; what the second does to the first."""
     e = read(spark, sf_dir, "events")
     count = lambda df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return corpus.upsert(count(e.where("event_id % 3 <> 0 AND user_id % 5 <> 1")), count(e.where("event_id % 3 <> 1 AND user_id % 7 <> 1")), "user_id", "n")
+    return corpus.upsert(count(e.where("ts < timestamp'2024-01-15'")), count(e.where("ts >= timestamp'2024-01-15'")), "user_id", "n")
 
 
 @query("q33b_merge_counts", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
@@ -441,36 +461,40 @@ def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q35_scan_findings", f"""
-SELECT * FROM {inline.Inline("case_id string, name string, file string, line long, kind string, message string", [
-    ("basic", "pandas", "pkg/app.py", 22, "import", "'pandas' is imported, but the registry has no such name (looked up as pandas)"),
-    ("tricky", "my_pkg", "requirements.txt", 5, "requirement", "'my_pkg' is required, but the registry has no such name (looked up as my_pkg)"),
-    ("toml", "left-pad", "pyproject.toml", 5, "requirement", "'left-pad' is required, but the registry has no such name (looked up as left-pad)"),
+SELECT * FROM {inline.Inline("case_id string, name string, file string, line long, kind string, message string, evidence string", [
+    ("basic", "pandas", "pkg/app.py", 22, "import", "'pandas' is imported, but the registry has no such name (looked up as pandas)", "registry: absent as pandas"),
+    ("tricky", "my_pkg", "requirements.txt", 5, "requirement", "'my_pkg' is required, but the registry has no such name (looked up as my_pkg)", "registry: absent as my_pkg"),
+    ("toml", "left-pad", "pyproject.toml", 5, "requirement", "'left-pad' is required, but the registry has no such name (looked up as left-pad)", "registry: absent as left-pad"),
 ]).sql()}
 """)
 def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole scans, from diff texts to findings."""
-    return scan.scan(spark, inline.DIFFS.frame(spark), inline.REGISTRY.frame(spark)).withColumn("line", F.col("line").cast("long"))
+    return scan.scan(spark, inline.DIFFS.frame(spark), inline.REGISTRY.frame(spark)).drop("ord").withColumn("line", F.col("line").cast("long"))
 
 
 @query("q36_reference_tools", f"""
-SELECT * FROM {inline.Inline("tool string, case_id string, name string", [
-    *[("every", c, n) for c, n in (("basic", "requests"), ("basic", "flask"), ("basic", "numpy"), ("basic", "pandas"), ("new", "hidden"), ("new", "two"), ("new", "core"), ("new", "yaml"), ("truncated", "z"))], ("listed", "basic", "pandas"), ("listed", "new", "yaml"),
-]).sql()}
+WITH {ADDED_SQL}, i AS (SELECT *, regexp_extract(content, '^\\s*(?:import|from)\\s+([a-zA-Z0-9_]+)', 1) AS name FROM a),
+r AS (SELECT case_id, pos, path, CASE WHEN name <> '' THEN name ELSE regexp_extract(trim(trim(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), ','), chr(34) || chr(39)), '^\\s*([A-Za-z0-9][A-Za-z0-9._-]+)\\s*(?:(?:===|==|>=|<=|~=|!=|>|<)\\S*\\s*,?\\s*$|$)', 1) END AS name FROM i)
+SELECT 'every' AS tool, case_id, name, arg_min(coalesce(path, '-'), pos) AS file, min(pos) AS pos FROM i WHERE name <> '' GROUP BY case_id, name
+UNION ALL SELECT 'listed', case_id, arg_min(name, pos), arg_min(coalesce(path, '-'), pos), min(pos) FROM r WHERE {norm_sql("name")} IN ('pandas', 'yaml', 'left-pad') GROUP BY case_id, {norm_sql("name")}
 """)
 def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = diffs.coarse_added(inline.DIFFS.frame(spark))
-    tools = {"every": imports.every_import_once(lines), "listed": imports.listed_imports(lines, ["pandas", "yaml"]), "none": imports.no_findings(lines)}
+    lines = diffs.coarse_added(COARSE.frame(spark))
+    tools = {"every": imports.every_import_once(lines), "listed": imports.listed_imports(lines, ["Pandas", "yaml", "left_pad"]), "none": imports.no_findings(lines)}
     out = None
     for name, df in tools.items():
-        df = df.select(F.lit(name).alias("tool"), "case_id", "name")
+        df = df.select(F.lit(name).alias("tool"), "case_id", "name", F.coalesce("file", F.lit("-")).alias("file"), F.col("pos").cast("long").alias("pos"))
         out = df if out is None else out.unionByName(df)
     return out
 
 
-METRICS = inline.Inline("tp long, fp long, fn long", [(3, 0, 0), (3, 3, 0), (0, 0, 3), (0, 6, 0), (0, 2, 2), (1, 1, 2), (0, 0, 0)])
+METRICS = inline.Inline("tp long, fp long, fn long", [(tp, fp, fn) for tp in (0, 4, 7) for fp in (0, 5, 11) for fn in (0, 2, 9)])
 
 
-@query("q37_metrics", f"SELECT * FROM {inline.Inline('tp long, fp long, fn long, precision double, recall double, f1 double', [(3, 0, 0, 1.0, 1.0, 1.0), (3, 3, 0, 0.5, 1.0, 0.666666667), (0, 0, 3, None, 0.0, None), (0, 6, 0, 0.0, None, None), (0, 2, 2, 0.0, 0.0, 0.0), (1, 1, 2, 0.5, 0.333333333, 0.4), (0, 0, 0, None, None, None)]).sql()}")
+@query("q37_metrics", f"""
+WITH m AS (SELECT *, tp::DOUBLE / nullif(tp + fp, 0) AS p, tp::DOUBLE / nullif(tp + fn, 0) AS r FROM {METRICS.sql()})
+SELECT tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM m
+""")
 def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_metrics(METRICS.frame(spark)).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 

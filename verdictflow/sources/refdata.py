@@ -6,8 +6,9 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Standard modules of other interpreter versions than the one that runs, and one counted as standard.
+# Standard modules that some interpreter versions lack, and one counted as standard.
 OTHER_VERSIONS = (
+    "_android_support _colorize _interpchannels _interpqueues _interpreters _ios_support _opcode_metadata _pydatetime _pyrepl _suggestions _sysconfig _tokenize _typing _wmi tomllib "
     "_apple_support _ast_unparse _crypt _hmac _math_integer _msi _py_warnings _remote_debugging _types _zstd aifc annotationlib asynchat asyncore "
     "audioop binhex cgi cgitb chunk compression crypt distutils formatter imghdr imp lib2to3 mailcap msilib nis nntplib ossaudiodev parser pipes "
     "profiling smtpd sndhdr spwd sunau symbol telnetlib typing_extensions uu xdrlib"
@@ -30,6 +31,7 @@ ALIASES = {
 
 
 def stdlib_names() -> list[str]:
+    """The interpreter's own list and the names of other versions, so that no version's modules are missing."""
     return sorted(set(sys.stdlib_module_names) | set(OTHER_VERSIONS.split()))
 
 
