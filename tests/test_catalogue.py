@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from verdictflow.plans import catalogue
+from verdictflow.plans import catalogue, harness  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -65,12 +65,12 @@ def is_manifest(path: Column) -> Column:
 def skipped(path: Column) -> Column:
     """Whether a listing leaves the entry out: in a skipped directory, or deeper than MAX_DEPTH."""
     parts = F.split(path, "/")
-    return F.exists(parts, lambda d: d.isin(*SKIPPED_DIRS)) | (F.size(parts) > MAX_DEPTH + 1)
+    return F.exists(parts, lambda d: d.isin(*SKIPPED_DIRS)) | (F.size(parts) > MAX_DEPTH)
 
 
 def percent(x: Column) -> Column:
     """One decimal; a dash where undefined."""
-    return F.coalesce(F.format_string("%.1f%%", x * 100), F.lit("-"))
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", x * 100)).otherwise("-")
 
 
 def location(file: Column, line: Column) -> Column:

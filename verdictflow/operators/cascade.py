@@ -110,7 +110,8 @@ def resolve_imports(candidates: DataFrame, stdlib: DataFrame, aliases: DataFrame
     df = df.withColumn("dir", dirname(F.col("file")))
     df = flag(df, siblings, ["case_id", "dir", "top"], "in_sibling") if siblings is not None else df.withColumn("in_sibling", F.lit(False))
     df = df.join(F.broadcast(aliases.withColumnRenamed("import_name", "top").withColumnRenamed("dist", "__dist")), "top", "left")
-    df = df.withColumn("aliased", F.col("__dist").isNotNull()).withColumn("dist", F.coalesce("__dist", "top")).drop("__dist")
+    imported = F.col("__dist").isNotNull() & (F.col("kind") != "requirement")  # a requirement names the distribution itself
+    df = df.withColumn("aliased", imported).withColumn("dist", F.when(imported, F.col("__dist")).otherwise(F.col("top"))).drop("__dist")
     return decide(lookup(df, registry, known_once=known_once), rules)
 
 

@@ -1,11 +1,16 @@
-"""Corpus upkeep: gate funnel, capped picks, quarantine, name tables, merges of runs."""
+"""Corpus upkeep: gate funnel, capped picks, quarantine, name tables, diagnosis, merges of runs."""
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import diffs as diff_lines
+from . import imports
 
 # Limits of the corpus miner.
 MAX_AGE_DAYS, MAX_FILES, MAX_CHANGED, PER_REPO, DEFAULT_COUNT = 730, 30, 1500, 15, 12
@@ -105,6 +110,47 @@ def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return o.join(n, key, "full").select(key, action.alias("action"), F.coalesce("__n", "__o").alias(value))
 
 
+def mining_report(old: DataFrame, new: DataFrame) -> DataFrame:
+    """repo, body: the counts (repo, gate, n) of earlier runs and this one together, as one JSON object per repository."""
+    counts = merge_counts(old, new, ["repo", "gate"], "n")
+    by_gate = F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "n"))))
+    return counts.groupBy("repo").agg(F.to_json(F.struct(F.sum("n").alias("examined"), by_gate.alias("gates"))).alias("body"))
+
+
+def lost(old: DataFrame, new: DataFrame) -> DataFrame:
+    """name: what a list that may only grow has lost; must be empty."""
+    return old.select("name").distinct().join(new.select("name"), "name", "left_anti")
+
+
+def coverage(listed: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """One row: how many names are listed, how many wanted ones are missing, and whether the list is whole."""
+    both = listed.select("name", F.lit(1).alias("l"), F.lit(0).alias("w")).unionByName(wanted.select("name", F.lit(0).alias("l"), F.lit(1).alias("w")))
+    by_name = both.groupBy("name").agg(F.max("l").alias("l"), F.max("w").alias("w"))
+    out = by_name.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("listed"), F.count_if((F.col("w") == 1) & (F.col("l") == 0)).alias("missing"))
+    return out.withColumn("whole", (F.col("missing") == 0) & (F.col("listed") > least))
+
+
+def first_match(rows: DataFrame, by: list[str], order: list[str], condition: Column) -> DataFrame:
+    """The first row of each group, in order, that the condition holds for."""
+    values = [c for c in rows.columns if c not in by]
+    return rows.where(condition).groupBy(*by).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("r")).select(*by, "r.*")
+
+
+def diagnose(unresolved: DataFrame, tree: DataFrame, known: DataFrame, diffs: DataFrame) -> DataFrame:
+    """unresolved (case_id, repo, ord, top, file) with signals, what may explain the name.
+
+    tree: (repo, path); known: (name) of real packages; diffs: (case_id, diff).  The tree is asked for the name, the name
+    with .py and the name under src, and the first that is there counts.
+    """
+    probes = unresolved.select("repo", "ord", F.posexplode(F.array("top", F.concat("top", F.lit(".py")), F.concat(F.lit("src/"), "top"))).alias("k", "path"))
+    seen = probes.join(tree.select("repo", "path").distinct(), ["repo", "path"]).groupBy("ord").agg(F.min_by("path", "k").alias("probe"))
+    near = close_names(unresolved.select(F.lower("top").alias("name")), known.select(F.lower("name").alias("name"))).select(F.col("name").alias("__name"), "near")
+    guards = diffs.select("case_id", imports.guarded(F.col("diff")).alias("guarded"))
+    rows = unresolved.join(seen, "ord", "left").join(guards, "case_id", "left").withColumn("__name", F.lower("top")).join(near, "__name", "left").drop("__name")
+    rows = rows.withColumn("in_tree", F.col("probe").isNotNull()).withColumn("is_test", F.lower("file").contains("test"))
+    return signals(rows).drop("guarded", "is_test", "in_tree")
+
+
 def signals(rows: DataFrame) -> DataFrame:
     """rows (in_tree, near, is_test, guarded) with the list of what may explain an unresolved name."""
     found = F.array_compact(F.array(F.when(F.col("in_tree"), "exists in tree"), F.when(F.col("near").isNotNull(), F.concat(F.lit("near "), "near")), F.when(F.col("is_test"), "test file"), F.when(F.col("guarded"), "guarded import")))
@@ -128,3 +174,33 @@ def nearest(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     pairs = keyed(names.select("name").distinct(), "name").join(keyed(known.select(F.col("name").alias("near")).distinct(), "near"), "__k").select("name", "near").distinct()
     far = pairs.withColumn("distance", F.levenshtein("name", "near")).where(F.col("distance") <= most)
     return far.groupBy("name").agg(F.min(F.struct("distance", "near")).alias("b")).select("name", "b.near", F.col("b.distance").cast("long").alias("distance"))
+
+
+# Well-known packages to which a name may come close.
+POPULAR = (
+    "requests numpy pandas scipy matplotlib flask django pytest setuptools pillow aiohttp httpx urllib3 certifi click rich pydantic sqlalchemy boto3 "
+    "beautifulsoup4 lxml cryptography packaging wheel virtualenv tox mypy black isort coverage"
+)
+
+
+def close_names(names: DataFrame, known: DataFrame, cutoff: float = 0.8) -> DataFrame:
+    """name, near, ratio: the known name of the greatest matching ratio, if it reaches cutoff; ties by the later name.
+
+    The ratio is 2 * matched / (len(a) + len(b)), matched in common blocks, so a pair at cutoff has a common subsequence
+    of cutoff / 2 of both lengths.  A name's padded character pairs are its keys.  What is not common breaks at most two
+    pairs each, so a pair of names shares a key, and all of them need not be compared; candidates are then compared exactly.
+    """
+    padded = lambda c: F.concat(F.lit("\x02"), c, F.lit("\x03"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(padded(c), i, F.lit(2))))
+    left = names.select("name").where("name <> ''").distinct().withColumn("key", F.explode(grams(F.col("name"))))
+    right = known.select(F.col("name").alias("near")).where("near <> ''").distinct().withColumn("key", F.explode(grams(F.col("near"))))
+    lengths = F.least(F.length("name"), F.length("near")) * 2 >= F.lit(cutoff) * (F.length("name") + F.length("near"))
+    pairs = left.join(right, "key").where(lengths).select("name", "near").distinct()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratios = [difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ratios, pa.float64())], ["name", "near", "ratio"])
+
+    found = pairs.mapInArrow(compared, "name string, near string, ratio double").where(F.col("ratio") >= cutoff)
+    return found.groupBy("name").agg(F.max(F.struct("ratio", "near")).alias("b")).select("name", "b.near", "b.ratio")

@@ -18,15 +18,19 @@ def findings_json(cases: DataFrame, findings: DataFrame) -> DataFrame:
     return cases.select("case_id").join(rows, "case_id", "left").select("case_id", F.coalesce(F.to_json("fs"), F.lit("[]")).alias("body"))
 
 
-def findings_markdown(findings: DataFrame, link_base: str = "") -> DataFrame:
-    """case_id, body: a heading and a table row per finding, by file and line; cases without findings have no row."""
+def findings_markdown(findings: DataFrame, link_base: str = "", marker: str = "") -> DataFrame:
+    """case_id, body: a heading and a table row per finding, by file and line; cases without findings have no row.
+
+    A marker is a hidden first line by which a later run finds the comment that holds the body.
+    """
     label = location(F.col("file"), F.col("line"))
     target = link(F.lit(link_base), F.col("file"), F.col("line")) if link_base else F.lit(None).cast("string")
     where = F.when(target.isNotNull(), F.concat(F.lit("["), label, F.lit("]("), target, F.lit(")"))).otherwise(label)
     row = F.concat(F.lit("| "), "name", F.lit(" | "), where, F.lit(" | "), F.coalesce("evidence", F.lit("")), F.lit(" |"))
     out = findings.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), "ord", row.alias("row")))).alias("rows"))
     heading = F.when(F.col("n") == 1, "1 name could not be found").otherwise(F.concat(F.col("n").cast("string"), F.lit(" names could not be found")))
-    return out.select("case_id", F.concat(heading, F.lit("\n\n| name | where | evidence |\n|---|---|---|\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("body"))
+    head = F.lit(f"<!-- {marker} -->\n" if marker else "")
+    return out.select("case_id", F.concat(head, heading, F.lit("\n\n| name | where | evidence |\n|---|---|---|\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("body"))
 
 
 def report_text(report: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def case_counts(cases: DataFrame, truths: DataFrame, findings: DataFrame, match:
     return out.select("case_id", "corpus", "label", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("findings", "tp", "fp", "fn")])
 
 
+def case_names(cases: DataFrame, truths: DataFrame, findings: DataFrame, match: str = "file") -> DataFrame:
+    """case_id, tp_names, fp_names, fn_names, unlocated_names: sorted lists for every case."""
+    credit = credited(truths, findings, match)
+    sort = lambda cond, name: F.array_sort(F.collect_list(F.when(cond, F.col(name)))).alias
+    hits = credit.groupBy("case_id").agg(sort(F.col("hit"), "name")("tp_names"), sort(~F.col("hit"), "name")("fn_names"), sort(F.col("unlocated"), "name")("unlocated_names"))
+    fps = false_positives(truths, findings, match).groupBy("case_id").agg(F.array_sort(F.collect_list("name")).alias("fp_names"))
+    rows = cases.select("case_id").join(hits, "case_id", "left").join(fps, "case_id", "left")
+    return rows.select("case_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tp_names", "fp_names", "fn_names", "unlocated_names")])
+
+
 def kind_counts(truths: DataFrame, findings: DataFrame, match: str = "file") -> DataFrame:
     rows = credited(truths, findings, match).withColumn("kind", F.coalesce(F.nullif(F.col("kind"), F.lit("")), F.lit("?")))
     return rows.groupBy("kind").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"))

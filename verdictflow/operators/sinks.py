@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from . import cascade, corpus, render
 
+#: The columns by which a scan's decisions are in order within their case.
+ORDER = ("file_id", "part", "pos", "k")
+
 
 def explain_log(decisions: DataFrame) -> DataFrame:
-    """One tab-separated line per decision: verdict, reason, name, place, detail."""
+    """One tab-separated line per decision: verdict, reason, name, place, detail; ord is its order in the case."""
     place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    return decisions.select("case_id", F.concat_ws("\t", "verdict", "reason", F.coalesce("top", F.lit("")), place, F.coalesce("dist", F.lit(""))).alias("line"))
+    ord_ = [F.struct(*ORDER).alias("ord")] if set(ORDER) <= set(decisions.columns) else []
+    return decisions.select("case_id", *ord_, F.concat_ws("\t", "verdict", "reason", F.coalesce("top", F.lit("-")), place, F.coalesce("dist", F.lit("-"))).alias("line"))
 
 
 def write_findings(cases: DataFrame, findings: DataFrame, path: str) -> None:
@@ -30,7 +34,26 @@ def write_contexts(top: DataFrame, siblings: DataFrame, path: str) -> None:
     names = top.groupBy("ctx_id").agg(F.array_sort(F.collect_set("name")).alias("top_level"))
     by_dir = siblings.groupBy("ctx_id", "dir").agg(F.array_sort(F.collect_set("name")).alias("names"))
     maps = by_dir.groupBy("ctx_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dir", "names")))).alias("siblings"))
-    names.join(maps, "ctx_id", "left").write.mode("overwrite").partitionBy("ctx_id").json(path)
+    names.join(maps, "ctx_id", "left").repartition("ctx_id").write.mode("overwrite").partitionBy("ctx_id").json(path)
+
+
+def tag_contexts(cases: DataFrame, contexts: DataFrame) -> DataFrame:
+    """cases (..., repo, context) with the context of their repository; what was there stays where there is none.
+
+    contexts: (repo, context), one row per repository.
+    """
+    found = contexts.select("repo", F.col("context").alias("__context"))
+    return cases.join(found, "repo", "left").withColumn("context", F.coalesce("__context", "context")).drop("__context")
+
+
+def stamp_absent(truths: DataFrame, snapshot: DataFrame, today: str) -> DataFrame:
+    """truths (..., name, verified_absent) with today's stamp, only if every name is still absent from the snapshot.
+
+    The gate is one row, read before the plan is made.
+    """
+    if not fresh(truths.select("name"), snapshot).first()["still_absent"]:
+        return truths
+    return truths.withColumn("verified_absent", F.lit(today))
 
 
 def write_quarantine(cases: DataFrame, flagged: DataFrame, kept_path: str, review_path: str, key: str = "case_id") -> None:
@@ -57,8 +80,8 @@ def write_verification_report(decisions: DataFrame, path: str) -> None:
 
 def exit_code(findings: DataFrame, errors: DataFrame) -> DataFrame:
     """2 if a case failed, else 1 if anything was found, else 0."""
-    n = findings.agg(F.count(F.lit(1)).alias("f")).crossJoin(errors.agg(F.count(F.lit(1)).alias("e")))
-    return n.select(F.when(F.col("e") > 0, 2).when(F.col("f") > 0, 1).otherwise(0).alias("code"))
+    codes = findings.select(F.lit(1).alias("code")).unionByName(errors.select(F.lit(2).alias("code")))
+    return codes.agg(F.coalesce(F.max("code"), F.lit(0)).alias("code"))
 
 
 def annotations(findings: DataFrame) -> DataFrame:

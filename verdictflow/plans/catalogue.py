@@ -245,7 +245,7 @@ USES = inline.Inline("case_id string, ctx_id string, file string, top string", [
 
 
 @query("q13_sibling_join", f"""
-WITH e AS (SELECT ctx_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base, is_dir FROM {inline.LISTING.sql()} WHERE NOT contains(path, 'node_modules') AND len(string_split(path, '/')) <= 6),
+WITH e AS (SELECT ctx_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base, is_dir FROM {inline.LISTING.sql()} WHERE NOT contains(path, 'node_modules') AND len(string_split(path, '/')) <= 5),
 s AS (SELECT DISTINCT ctx_id, dir, CASE WHEN is_dir THEN base ELSE regexp_replace(base, '[.]pyi?$', '') END AS top FROM e WHERE NOT starts_with(base, '.') AND (is_dir OR regexp_matches(base, '[.]pyi?$')))
 SELECT u.*, s.top IS NOT NULL AS in_sibling FROM {USES.sql()} u LEFT JOIN s ON s.ctx_id = u.ctx_id AND s.top = u.top AND s.dir = regexp_extract(u.file, '^(.*)/[^/]*$', 1)
 """)

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_fixture_data, is_manifest, is_python
 from ..operators import cascade, diffs, imports, manifests, render, repo
+from ..operators.sinks import ORDER
 from ..sources import refdata
 
-#: The order of decisions: by file, then declared names, then imports, by line, by place in the line.
-ORDER = ("file_id", "part", "pos", "k")
 COLUMNS = ("case_id", *ORDER, "kind", "top", "file", "line", "verdict", "reason", "dist", "evidence")
 
 

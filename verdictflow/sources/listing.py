@@ -52,7 +52,7 @@ def directory(spark: SparkSession, root: str, ctx_id: str) -> DataFrame:
             todo = list(batch[["path", "is_dir"]].itertuples(index=False, name=None))
             while todo:
                 yield pd.DataFrame(todo, columns=["path", "is_dir"])
-                todo = [x for path, is_dir in todo if is_dir and path.rsplit("/", 1)[-1] not in SKIPPED_DIRS and path.count("/") < MAX_DEPTH for x in _children(root, path)]
+                todo = [x for path, is_dir in todo if is_dir and path.rsplit("/", 1)[-1] not in SKIPPED_DIRS and path.count("/") < MAX_DEPTH - 1 for x in _children(root, path)]
 
     first = spark.createDataFrame([(root,)], "uri string").mapInPandas(top, "path string, is_dir boolean")
     return first.repartition("path").mapInPandas(below, "path string, is_dir boolean").select(F.lit(ctx_id).alias("ctx_id"), "path", "is_dir")
@@ -69,6 +69,22 @@ def pulls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PULL).json(path).withColumn("merged_at", F.try_to_timestamp("merged_at"))
 
 
+def pull_pages(spark: SparkSession, path: str) -> DataFrame:
+    """repo, page, k and PULL of captured pages ``<repo>/<page>.json``, each an array; nothing after a repo's first empty
+    page, as there the listing stopped."""
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    where = F.regexp_extract(F.url_decode("_metadata.file_path"), r"([^/]+)/(\d+)\.json$", 1), F.regexp_extract("_metadata.file_path", r"/(\d+)\.json$", 1).cast("int")
+    pages = texts.select(where[0].alias("repo"), where[1].alias("page"), F.from_json("value", f"array<struct<{PULL}>>").alias("pulls")).where("page IS NOT NULL")
+    end = pages.where("size(pulls) = 0").groupBy("repo").agg(F.min("page").alias("end"))
+    rows = pages.join(end, "repo", "left").where("end IS NULL OR page < end").select("repo", "page", F.posexplode("pulls").alias("k", "p"))
+    return rows.select("repo", "page", "k", "p.*").withColumn("merged_at", F.try_to_timestamp("merged_at"))
+
+
 def event_number(body: Column) -> Column:
     """The request's number in a host's event payload."""
     return F.coalesce(F.get_json_object(body, "$.pull_request.number"), F.get_json_object(body, "$.number")).cast("long")
+
+
+def event_commit(body: Column) -> Column:
+    """The commit that the request proposes, in a host's event payload."""
+    return F.coalesce(F.get_json_object(body, "$.pull_request.head.sha"), F.get_json_object(body, "$.after"))

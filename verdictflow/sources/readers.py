@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRUTH = "struct<name:string,file:string,kind:string,category:string,origin:string,mimics:string,verified_absent:string>"
@@ -19,9 +19,13 @@ def diffs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of a JSON-lines manifest; blank lines and # lines are skipped; ``error`` says what is wrong with a row."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
-    rows = lines.select("value", F.from_json("value", CASE, {"mode": "PERMISSIVE"}).alias("c")).select("value", "c.*")
+    """Cases of a JSON-lines manifest; blank lines and # lines are skipped; ``error`` says what is wrong with a row.
+
+    place is the row's file and line.  A manifest lists cases, it doesn't hold them, so a file is one row at first.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    lines = whole.where(~F.col("value").rlike(r"^\s*(#|$)")).withColumn("place", F.concat_ws(":", "file", (F.col("n") + 1).cast("string")))
+    rows = lines.select("place", "value", F.from_json("value", CASE, {"mode": "PERMISSIVE"}).alias("c")).select("place", "value", "c.*")
     error = (
         F.when(F.col("id").isNull(), "bad json or no id")
         .when(~F.coalesce(F.col("label"), F.lit("")).isin(*LABELS), "unknown label")
@@ -30,19 +34,40 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("error", error).withColumn("diff", F.coalesce("diff", F.concat(F.lit("diffs/"), "id", F.lit(".diff")))).drop("value")
 
 
+def _inside(folder: str) -> Column:
+    """The path of a row's file inside folder, without schemes."""
+    plain = lambda p: F.regexp_replace(p, r"^[a-z0-9+.-]+:/*", "/")
+    return F.substr(plain(F.url_decode(F.col("_metadata.file_path"))), F.length(plain(F.lit(folder.rstrip("/")))) + 2)
+
+
+def case_diffs(spark: SparkSession, folder: str) -> DataFrame:
+    """The sound cases of a corpus folder with their diffs: the manifest's columns, diff being the text.
+
+    A case whose file is missing has a null diff.
+    """
+    cases = manifest(spark, f"{folder}/manifest.jsonl").where("error IS NULL").withColumnRenamed("diff", "path").withColumnRenamed("id", "case_id")
+    texts = spark.read.option("recursiveFileLookup", True).text(f"{folder}/diffs", wholetext=True).select(_inside(folder).alias("path"), F.col("value").alias("diff"))
+    return cases.join(texts, "path", "left")
+
+
 def adjudicated(manifest: DataFrame) -> DataFrame:
     """(case_id, name): the names of each case that its owner has adjudicated."""
     return manifest.select(F.col("id").alias("case_id"), F.explode("adjudicated.name").alias("name")).where("name IS NOT NULL").distinct()
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot with one JSON object per file."""
-    return spark.read.schema(REGISTRY).option("multiLine", True).json(path)
+    """A snapshot with one JSON object per ``*.json`` file; objects without a name are left out."""
+    return spark.read.schema(REGISTRY).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).where("name IS NOT NULL")
 
 
 def repo_context(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Captured listings: (ctx_id, name) of top-level names, (ctx_id, dir, name) of siblings."""
-    raw = spark.read.schema("top_level array<string>, siblings map<string,array<string>>, _truncated boolean").option("multiLine", True).json(path).select("*", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("ctx_id"))
+    """Captured listings: (ctx_id, name) of top-level names, (ctx_id, dir, name) of siblings.
+
+    ctx_id is the folder ``ctx_id=...`` that a listing stands in, as sinks.write_contexts writes them, else its file's name.
+    """
+    schema = "ctx_id string, top_level array<string>, siblings map<string,array<string>>, _truncated boolean"
+    raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    raw = raw.withColumn("ctx_id", F.coalesce("ctx_id", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)))
     top = raw.select("ctx_id", F.explode("top_level").alias("name")).distinct()
     by_dir = raw.select("ctx_id", F.explode("siblings").alias("dir", "names"))
     return top, by_dir.select("ctx_id", "dir", F.explode("names").alias("name")).distinct()
