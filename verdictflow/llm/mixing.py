@@ -17,13 +17,10 @@ interchangeable; an empty table gives an empty table; other columns pass through
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, n_words_of, stored, table, text_of
+from .common import content_hash, discard, n_words_of, stored, table, text_of
 
 MAX_EPOCHS = 3.0
 SEED = 20240607
@@ -59,28 +56,22 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 
 def class_quotas(cells: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """__source, __class, __quota: how many documents of each size class are taken once more."""
+    """__source, __class, __quota: how many documents of each size class are taken once more.
+
+    A source's classes, 8 for each doubling of the size, are walked from the largest down in one expression.
+    """
     classes = cells.groupBy("__source", "__class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     draw = F.pmod(F.xxhash64(F.lit(seed + 1), "__source", "__class"), F.lit(1 << 30)) / float(1 << 30)
     classes = classes.join(sources.select("__source", (F.col("rate") - F.floor("rate")).alias("share")), "__source").withColumn("draw", draw)
 
-    def of_source(g: pd.DataFrame) -> pd.DataFrame:
-        """g: the size classes of one source, 8 for each doubling of the size."""
-        g = g.sort_values("__class", ascending=False)
-        due, quotas = 0.0, []
-        for n, words, share, u in zip(g["n"], g["words"], g["share"], g["draw"], strict=True):
-            due += words * share
-            mean = words / n
-            quotas.append(min(int(n), max(0, math.floor(due / mean + u))) if mean else 0)
-            due -= quotas[-1] * mean
-        return pd.DataFrame({"__source": g["__source"], "__class": g["__class"], "__quota": quotas})
-
-    return classes.groupBy("__source").applyInPandas(of_source, "__source string, __class int, __quota long")
-
-
-def content_hash(docs: DataFrame) -> Column:
-    """Of all columns that can be hashed: what tells rows of one doc_id apart."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
+    fields = F.struct("__class", F.col("n").cast("double").alias("n"), "words", (F.col("words") / F.col("n")).alias("mean"), "share", "draw")
+    due = lambda s, x: s["due"] + x["words"] * x["share"]
+    quota = lambda s, x: F.when(x["mean"] > 0, F.least(x["n"], F.greatest(F.lit(0.0), F.floor(due(s, x) / x["mean"] + x["draw"]).cast("double")))).otherwise(0.0)
+    step = lambda s, x: F.struct((due(s, x) - quota(s, x) * x["mean"]).alias("due"), F.concat(s["quotas"], F.array(F.struct(x["__class"].alias("c"), quota(s, x).cast("long").alias("q")))).alias("quotas"))
+    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<struct<c:int,q:bigint>>").alias("quotas"))
+    of_source = classes.groupBy("__source").agg(F.sort_array(F.collect_list(fields), asc=False).alias("cs"))
+    chosen = of_source.select("__source", F.explode(F.aggregate("cs", start, step)["quotas"]).alias("x"))
+    return chosen.select("__source", F.col("x.c").alias("__class"), F.col("x.q").alias("__quota"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", content: str = "content", seed: int = SEED, max_epochs: float = MAX_EPOCHS) -> DataFrame:
