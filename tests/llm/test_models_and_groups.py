@@ -53,9 +53,10 @@ def planted(seed, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t"), (5, rows[5][1])]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("block", [1024, 7, 2])
 def test_near_duplicates_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(minhash_dedup, "STAR_DOCS", block)
     rows = planted(block, 300)
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
     got = minhash_dedup.near_duplicates(docs, 3, 85).collect()

@@ -9,13 +9,17 @@
 3. In each bucket every member is linked to the least one: as many rows as members, never all pairs.  The components of
    these links hold every pair that shares a key.
 4. Within a component, pairs up to COMPARED that are not connected yet are compared on their full sets, counted over an
-   inverted index, from the most central signature outwards.  Large components are cut into blocks and every two blocks
-   meet in a task of their own, which returns a spanning forest of the links it confirms; no pair goes uncompared, and
-   no task sees more than two blocks.
+   inverted index, from the most central signature outwards.  A component of up to BLOCK_DOCS is one task.
+5. Of a larger one, each member is first compared with the leader of most of its buckets, in groups of about STAR_DOCS
+   around a leader, so a group of n near copies costs n.  What is confirmed makes classes.
+6. Only members of buckets that still hold two classes go on.  Their components are cut into blocks, of one class each
+   where a class is large; every two blocks meet in a task of their own, but for blocks of one class.  So no pair that
+   shares a key goes uncompared.  Blocks are dealt by hash: BLOCK_DOCS is the mean of their size.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; with fewer words than a shingle, the
-whole sequence is one; rows that share a doc_id are one document (its texts' links are its own); a row with a null
-doc_id is linked with nothing and kept; an empty table gives an empty table; other columns are not read.
+whole sequence is one; rows that share a doc_id are one document (its texts' links are its own), of which ``stage``
+keeps every distinct text once; a row with a null doc_id is linked with nothing and kept; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stored, table, text_of
+from .common import content_hash, discard, slices, stored, table, text_of
 from .components import connected_components
 
 POSITIONS, CHUNK = 70, 5
@@ -37,8 +41,10 @@ THRESHOLD = 2 * CHUNKS - 1
 #: Candidates are compared up to this distance: the buckets also hold pairs beyond THRESHOLD, and at a similarity of 0.8
 #: one pair in 10,000 lies there.
 COMPARED = THRESHOLD + 9
-#: A block of a large component: so many documents, or so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+#: A block: so many documents, or so many shingles.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
+#: So many documents around a leader are one group; classes follow so many links.
+STAR_DOCS, STEPS = 128, 3
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -119,29 +125,39 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def bucket_links(reps: DataFrame) -> DataFrame:
-    """(u, v): each representative and the least one of every bucket that it is in."""
+def keyed(reps: DataFrame, *columns: str) -> DataFrame:
+    """columns and key of reps (sig, ...), one row for each of a signature's buckets."""
     keys = []
     for c in range(CHUNKS):
         for left_out in range(CHUNK):
             kept = [F.substring("sig", 2 * (c * CHUNK + p) + 1, 2) for p in range(CHUNK) if p != left_out]
             keys.append(F.xxhash64(F.lit(c * CHUNK + left_out), *kept))
-    rows = reps.select("id", F.explode(F.array(*keys)).alias("key"))
-    least = F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(F.col("id").alias("u"), least.alias("v")).where("u <> v").distinct()
+    return reps.select(*columns, F.explode(F.array(*keys)).alias("key"))
+
 
+def bucket_links(reps: DataFrame) -> DataFrame:
+    """(u, v, shared): each representative, the least one of a bucket that it is in, and in how many buckets it is that.
+
+    Minima are aggregated before the shuffle, and written before they are joined back, so that Spark can split the join
+    at a bucket with very many members.
+    """
+    rows = keyed(reps, "id")
+    least = stored(rows.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("__most")).where("v <> __most").drop("__most"), "dedup-least")
+    pairs = rows.join(least, "key").select(F.col("id").alias("u"), "v").where("u <> v")
+    out = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")), "dedup-bucket-links")
+    discard(least)
+    return out
 
-def confirm(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, percent: int) -> dict[int, int]:
-    """Links between side 1 and side 2 (or all where there is but one side), as id -> least id connected to it."""
+
+def confirm(classes: np.ndarray, texts: list[str], side: np.ndarray, width: int, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between side 1 and side 2 (or all where there is but one side), as pairs of places that join two classes of
+    rows, and the class that each row is in at last, as the place of one of its rows."""
     sets = [shingle_set(t, width) for t in texts]
     g = len(sets)
     sizes = np.array([len(s) for s in sets])
     sigs = np.stack([signature(s) for s in sets])
-    parent = np.arange(g)
-    order = np.argsort(ids, kind="stable")
-    same = np.flatnonzero(np.diff(ids[order]) == 0)
-    for i in same:
-        parent[parent == parent[order[i + 1]]] = parent[order[i]]
+    _, first, inverse = np.unique(classes, return_index=True, return_inverse=True)
+    parent = first[inverse]
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(g), sizes)
     by_value = np.argsort(flat, kind="stable")
@@ -151,6 +167,7 @@ def confirm(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, per
     posting = owner[by_value]
     mode = np.array([np.bincount(column).argmax() for column in sigs.T]) if g > 2 else sigs[0]
     two_sided = len(np.unique(side)) > 1
+    links = []
     for x in np.argsort((sigs != mode).sum(1), kind="stable"):
         other = parent != parent[x]
         if two_sided:
@@ -172,12 +189,86 @@ def confirm(ids: np.ndarray, texts: list[str], side: np.ndarray, width: int, per
         union = sizes[x] + sizes[near] - common
         linked = near[common * 100 >= union * percent]
         if len(linked):
-            roots = np.unique(np.r_[parent[linked], parent[x]])
-            parent[np.isin(parent, roots)] = roots[0]
-    out = {}
-    for root in np.unique(parent):
-        members = np.unique(ids[parent == root])
-        out |= {int(i): int(members[0]) for i in members[1:]}
+            joined, at = np.unique(parent[linked], return_index=True)
+            links += [(int(x), int(linked[k])) for k in at]
+            parent[np.isin(parent, joined) | (parent == parent[x])] = joined[0]
+    return links, parent
+
+
+def _compare(width: int, percent: int):
+    """For applyInArrow over (id, cls, side, text): u, v, the links that join classes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        links, _ = confirm(t.column("cls").to_numpy(), t.column("text").to_pylist(), t.column("side").to_numpy(), width, percent)
+        return pa.table({"u": pa.array([ids[x] for x, _ in links], pa.int64()), "v": pa.array([ids[y] for _, y in links], pa.int64())})
+
+    return run
+
+
+def blocks_of(n_docs: Column, n_shingles: Column, docs: int | None = None) -> Column:
+    return F.ceil(F.greatest(n_docs / (docs or BLOCK_DOCS), n_shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def star_links(big: DataFrame, links: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): members of big (id, n, ...) that are linked with the leader of most of their buckets; v < u.
+
+    links: (u, v, shared).  Around a leader with very many members there are many groups, each with the leader's text.
+    """
+    sizes = big.groupBy(F.col("id").alias("u")).agg(F.sum("n").alias("n"))
+    best = links.join(sizes, "u").groupBy("u").agg(F.max(F.struct("shared", (-F.col("v")).alias("least"), "v", "n")).alias("b")).select("u", "b.v", "b.n")
+    best = stored(best, "dedup-best")
+    groups = stored(best.groupBy("v").agg(blocks_of(F.count(F.lit(1)), F.sum("n"), STAR_DOCS).alias("salts")), "dedup-stars")
+    around = best.join(groups, "v").select("v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.col("u").alias("id"), F.lit(1).alias("side"))
+    leader = groups.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("v").alias("id"), F.lit(2).alias("side"))
+    whole = around.unionByName(leader).join(source.withColumnRenamed("doc_id", "id"), "id").select("v", "salt", "id", F.col("id").alias("cls"), "side", "text")
+    found = whole.groupBy("v", "salt").applyInArrow(_compare(width, percent), "u long, v long")
+    out = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-star-links")
+    discard(best, groups)
+    return out
+
+
+def with_classes(big: DataFrame, links: DataFrame) -> DataFrame:
+    """big with cls: where a few steps along links lead, each to the least v of u.  Members of one class are connected;
+    connected members may be in several."""
+    up = links.groupBy("u").agg(F.min("v").alias("v"))
+    out = big.withColumn("cls", F.col("id"))
+    for k in range(STEPS):
+        step = up.select(F.col("u").alias("cls"), F.col("v").alias(f"__v{k}"))
+        out = out.join(step, "cls", "left").withColumn("cls", F.coalesce(f"__v{k}", "cls")).drop(f"__v{k}")
+    return out
+
+
+def block_links(big: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): links that join classes, of all pairs of big (id, root, cls, sig, n) that share a bucket and are in two
+    classes."""
+    rows = keyed(big, "id", "cls")
+    mixed = stored(rows.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key"), "dedup-mixed")
+    still = rows.join(mixed, "key", "left_semi").select("id").distinct()
+    still = stored(still.join(big.groupBy("id").agg(F.min("root").alias("root"), F.min("cls").alias("cls"), F.sum("n").alias("n")), "id"), "dedup-open")
+    of_class = still.groupBy("root", "cls").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
+    of_class = of_class.withColumn("pure", blocks_of(F.col("n_docs"), F.col("n")) > 1).withColumn("own", F.when(F.col("pure"), F.col("cls")).otherwise(0))
+    groups = of_class.groupBy("root", "pure", "own").agg(blocks_of(F.sum("n_docs"), F.sum("n")).alias("blocks"))
+    in_order = Window.partitionBy("root").orderBy("pure", "own").rowsBetween(Window.unboundedPreceding, 0)
+    groups = groups.withColumn("base", (F.sum("blocks").over(in_order) - F.col("blocks")).cast("int")).withColumn("all", F.sum("blocks").over(Window.partitionBy("root")).cast("int"))
+    places = stored(of_class.select("root", "cls", "pure", "own").join(groups, ["root", "pure", "own"]).drop("own"), "dedup-places")
+    dealt = still.join(places, ["root", "cls"]).withColumn("at", F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    dealt = dealt.where("NOT pure OR met < base OR met >= base + blocks")
+    dealt = dealt.select("root", F.least("at", "met").alias("i"), F.greatest("at", "met").alias("j"), "id", "cls", F.when(F.col("at") <= F.col("met"), 1).otherwise(2).alias("side"))
+    whole = dealt.join(source.withColumnRenamed("doc_id", "id"), "id")
+    out = stored(whole.groupBy("root", "i", "j").applyInArrow(_compare(width, percent), "u long, v long"), "dedup-block-links")
+    discard(mixed, still, places)
+    return out
+
+
+def classes_of_large(big: DataFrame, links: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, root) of the members of large components, big (id, root, sig, n), that are not roots."""
+    near = star_links(big, links, source, width, percent)
+    classed = stored(with_classes(big, near), "dedup-classed")
+    found = block_links(classed, source, width, percent)
+    out = stored(connected_components(near.unionByName(found)), "dedup-classes")
+    discard(near, classed, found)
     return out
 
 
@@ -185,36 +276,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """One row per document: doc_id, n_shingles, component_id, kept.  Links are 100 * common >= percent * union."""
     if percent < 80:
         raise ValueError("the signature threshold is set for similarities of 0.8 or more")
-    spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     signed = stored(sign(source, width), "dedup-signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "dedup-reps")
-    linked = connected_components(bucket_links(reps))
+    links = bucket_links(reps)
+    linked = stored(connected_components(links.select("u", "v")), "dedup-roots")
     members = linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).join(reps.select("id", "n"), "id")
     members = stored(members.groupBy("id", "root").agg(F.sum("n").alias("n")), "dedup-members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = stored(members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "dedup-large")
+    large = stored(members.groupBy("root").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks")).where("blocks > 1").select("root"), "dedup-large")
 
-    dealt = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "root", "blocks", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), F.when(F.col("own") <= F.col("met"), 1).otherwise(2).alias("side"))
-    whole = dealt.join(source.withColumnRenamed("doc_id", "id"), "id")
-
-    def compare(t: pa.Table) -> pa.Table:
+    def of_one(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
-        found = confirm(ids, t.column("text").to_pylist(), t.column("side").to_numpy(), width, percent)
-        n = len(found)
-        return pa.table({"u": pa.array(found.keys(), pa.int64()), "v": pa.array(found.values(), pa.int64()), "whole": pa.array([t.column("blocks")[0].as_py() == 1] * n, pa.bool_())})
+        _, parent = confirm(ids, t.column("text").to_pylist(), np.zeros(len(ids)), width, percent)
+        least = {p: ids[parent == p].min() for p in np.unique(parent)}
+        found = {int(i): int(least[p]) for i, p in zip(ids, parent, strict=True) if i != least[p]}
+        return pa.table({"id": pa.array(found.keys(), pa.int64()), "root": pa.array(found.values(), pa.int64())})
 
-    links = stored(whole.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long, whole boolean"), "dedup-links")
-    classes = links.where("whole").select(F.col("u").alias("id"), F.col("v").alias("root"))
+    small = members.join(large, "root", "left_anti").select("id", "root").join(source.withColumnRenamed("doc_id", "id"), "id")
+    classes = stored(small.groupBy("root").applyInArrow(of_one, "id long, root long"), "dedup-links")
     if not large.isEmpty():
-        classes = classes.unionByName(connected_components(links.where("NOT whole").select("u", "v")))
+        big = stored(members.join(large, "root", "left_semi").select("id", "root").join(reps.select("id", "sig", "n"), "id"), "dedup-big")
+        classes = classes.unionByName(classes_of_large(big, links, source, width, percent))
+        discard(big)
     named = reps.select("d1", "d2", "id").join(classes, "id", "left")
     named = stored(named.select("d1", "d2", F.coalesce("root", "id").alias("root")), "dedup-named")
-    discard(reps, members, large)
+    discard(reps, links, linked, members, large)
     joined = signed.drop("sig").join(named, ["d1", "d2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("root"))
@@ -226,9 +313,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the least doc_id; five-word shingles, similarity 0.8."""
+    """One document of each group, the one with the least doc_id; five-word shingles, similarity 0.8.
+
+    Of rows with one doc_id, each distinct text stays once.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, docs["doc_id"] == kept["__id"])
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("__id"))
-    once = joined.withColumn("__n", first).where("__n = 1").drop("__n", "__id")
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    joined = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__of"), F.xxhash64("text").alias("__text"), content_hash(docs).alias("__content"))
+    joined = joined.join(kept, F.col("__of") == F.col("__id"))
+    first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__content"))
+    return joined.withColumn("__n", first).where("__n = 1").select("__row.*").unionByName(docs.where("doc_id IS NULL"))
