@@ -2,8 +2,11 @@
 
 A small network is fitted to trusted positives (label 1) against unlabelled text with an estimated class prior pi.  With
 a loss l, the risk is pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)); where the bracket falls below zero its gradient is
-reversed, which keeps the network from pushing unlabelled positives down.  pi is the positives' share among the labelled
-training rows that are in the table, smoothed by one row of each label.
+reversed, which keeps the network from pushing unlabelled positives down.
+
+pi is estimated from positives and unlabelled rows alone, no negative label is read: networks that separate halves of
+them score the other halves, and of all thresholds the one is taken where the share of unlabelled rows above it, over
+that of positives, is least, allowing for the samples' sizes (best bin estimation).
 
 Features are built-in expressions over the whole text, scores a built-in expression over the features.  Only the fit
 sees a sample: at most MAX_POSITIVE positives and MAX_UNLABELLED unlabelled rows of the training folds, the first by a
@@ -11,11 +14,12 @@ hash of doc_id; those bounds are the documented parameters.
 
 Edge cases: null and empty texts have all features 0 and are scored; a null doc_id is never trained on and is not held
 out; rows whose labels contradict each other are not trusted; repeated rows are scored each; without any usable positive
-all scores are the prior; an empty table gives an empty table; clashing column names in docs are not read.
+all scores are 0.5; an empty table gives an empty table; clashing column names in docs are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -33,6 +37,8 @@ EPOCHS, LEAST_STEPS = 60, 800
 BATCH = 1024
 RATE = 0.01
 SEED = 11
+#: Times that the rows are halved to estimate the prior.
+SPLITS = 3
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -102,8 +108,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Network:
-    """Adam on the non-negative risk, with the logistic loss l(z) = log(1 + exp(-z))."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, share: float | None = None) -> Network:
+    """Adam on the non-negative risk, with the logistic loss l(z) = log(1 + exp(-z)).
+
+    share, prior unless given, is how many positives the unlabelled rows hold: 0 separates them from the positives.
+    """
+    share = prior if share is None else share
     rng = np.random.default_rng(seed)
     net = Network(positive.shape[1], rng)
     first, second, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
@@ -113,8 +123,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         for b in range(n_batches):
             u, p = unlabelled[order_u[b::n_batches]], positive[order_p[b % len(order_p) :: n_batches]]
             (hu, zu), (hp, zp) = net.forward(u), net.forward(p)
-            bracket = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            minus = [a - c for a, c in zip(net.grads(u, hu, sigmoid(zu) / len(u)), net.grads(p, hp, prior * sigmoid(zp) / len(p)), strict=True)]
+            bracket = np.mean(np.logaddexp(0, zu)) - share * np.mean(np.logaddexp(0, zp))
+            minus = [a - c for a, c in zip(net.grads(u, hu, sigmoid(zu) / len(u)), net.grads(p, hp, share * sigmoid(zp) / len(p)), strict=True)]
             if bracket < 0:
                 total = [-m for m in minus]
             else:
@@ -128,6 +138,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, by the best bin: above it, unlabelled rows are as good as all
+    positive.  Each half is scored by a network of the other half; the halves are dealt by a hash of the row, so a row
+    that is positive and unlabelled is in one half.  With too few rows for halves, one half."""
+    kept = np.arange(1, 101) / 100
+    above = []
+    for turn in range(SPLITS):
+        of_p, of_u = (np.array([hashlib.blake2b(x.tobytes(), digest_size=1, key=b"%d" % (seed + turn)).digest()[0] & 1 for x in rows]) for rows in (positive, unlabelled))
+        for half in (0, 1):
+            p, u, test_p, test_u = positive[of_p == half], unlabelled[of_u == half], positive[of_p != half], unlabelled[of_u != half]
+            if not min(map(len, (p, u, test_p, test_u))):
+                continue
+            net = fit(p, u, 1.0, seed, share=0.0)
+            zp, zu = np.sort(net.forward(test_p)[1]), np.sort(net.forward(test_u)[1])
+            least = zp[np.minimum(len(zp) - 1, np.floor((1 - kept) * len(zp) + 1e-9).astype(int))]
+            above.append(1 - np.searchsorted(zu, least) / len(zu))
+    if not above:
+        return 0.5
+    slack = math.sqrt(math.log(4 / doubt) / 2) * (len(unlabelled) ** -0.5 + len(positive) ** -0.5)
+    share = np.mean(above, 0)
+    best = np.argmin((share + slack) / kept)
+    return float(np.clip(share[best] / kept[best], 1 / (len(unlabelled) + 2), 1 - 1 / (len(unlabelled) + 2)))
+
+
 def first_by_hash(rows: DataFrame, most: int, names: list[str]) -> np.ndarray:
     """The ``most`` rows whose ids hash lowest.  Hashes beyond twice their share are left out first, so that tasks don't
     each send ``most`` rows to the driver."""
@@ -139,16 +173,16 @@ def first_by_hash(rows: DataFrame, most: int, names: list[str]) -> np.ndarray:
 
 def train(scored: DataFrame, names: list[str], labels: DataFrame) -> tuple[Column, float]:
     """The score as an expression over the features, and the class prior."""
-    trusted = trusted_labels(labels).join(scored.select("doc_id"), "doc_id", "left_semi")
-    counts = {r["quality"]: r["n"] for r in trusted.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
+    trusted = trusted_labels(labels).where("quality = 1").select("doc_id")
     pool = scored.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", *names)
     unlabelled = first_by_hash(pool, MAX_UNLABELLED, names)
-    positive = first_by_hash(pool.join(trusted.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), MAX_POSITIVE, names)
+    positive = first_by_hash(pool.join(trusted, "doc_id", "left_semi"), MAX_POSITIVE, names)
     if not len(positive):
-        return F.lit(prior), prior
+        return F.lit(0.5), 0.5
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    net = fit(np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8), prior)
+    positive, unlabelled = np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
+    prior = estimate_prior(positive, unlabelled)
+    net = fit(positive, unlabelled, prior)
     z = [F.least(F.greatest((F.col(n) - float(m)) / float(s), F.lit(-8.0)), F.lit(8.0)) for n, m, s in zip(names, mean, scale, strict=True)]
     hidden = []
     for k in range(HIDDEN):
