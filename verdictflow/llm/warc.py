@@ -3,14 +3,16 @@
 A package is a ZIP file with stored members: ``archive/data.warc.gz``, one gzip member per record, and
 ``indexes/index.cdxj``, one line per record with its offset and length inside the archive member.  The reader finds the
 end-of-central-directory record, follows the ZIP64 locator where a field is saturated, walks the central directory, and
-then reads the index and single records by byte range.
+reads the index once to cut it into blocks of lines; each block's task then reads its own lines and their records by byte
+range.
 
 Packages are written by the tasks of one job under names of their own attempt; the table of finished packages is what
 the job returns, so an attempt that was lost leaves a file that nobody reads.
 
 Edge cases: a null payload is empty; a null id is written as such and never leads a group unless all ids are null; equal
 records at the largest id are all responses; an empty table gives no package and an empty result; other columns are not
-read; a payload of any length is one record, held in memory by itself.
+read; a url is kept whole, null or with control characters; a payload of any length is one record, held in memory by
+itself.
 """
 
 from __future__ import annotations
@@ -153,6 +155,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
         "Content-Type": "application/http; msgtype=response",
         "X-Page-Id": "" if page_id is None else str(page_id),
         "X-Payload-Length": str(len(payload)),
+        "X-Page-Url": json.dumps(url),
     }
     if refers_to is not None:
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": str(refers_to)}
@@ -197,7 +200,7 @@ def with_leaders(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[Data
     that a payload with very many copies can be split over tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    digests = pages.withColumn("digest", F.sha1(payload.cast("binary")))
+    digests = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"))
     long = F.octet_length(payload) >= least_bytes
     leaders = digests.where(long).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     leaders = stored(leaders, "warc-leaders")
@@ -207,7 +210,7 @@ def with_leaders(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[Data
 
 
 def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
-    """Write records (page_id, url, payload, digest, refers_to) and return the table uri, records of whole packages."""
+    """Write records (page_id, url, payload, digest, refers_to) and return the table (uri, records) of whole packages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
@@ -226,35 +229,65 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
     return records.mapInArrow(run, "uri string, records long")
 
 
+READ_BYTES = 1 << 20
+
+
+def index_blocks(f: RangeFile, count: int) -> Iterator[tuple[int, int]]:
+    """(offset, size) of every count lines of the index, read front to back in bounded pieces."""
+    begin, size = stored_range(f, INDEX)
+    lines, start, at = 0, 0, 0
+    while at < size:
+        piece = f.read(begin + at, min(READ_BYTES, size - at))
+        cut = piece.find(b"\n")
+        while cut >= 0:
+            lines += 1
+            if lines == count:
+                yield begin + start, at + cut + 1 - start
+                lines, start = 0, at + cut + 1
+            cut = piece.find(b"\n", cut + 1)
+        at += len(piece)
+    if start < size:
+        yield begin + start, size - start
+
+
 def read_packages(packages: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFrame:
-    """One row per record of packages (uri, records); blocks of an index are dealt over tasks."""
+    """One row per record of packages (uri, ...).  The indexes are cut into blocks, which are dealt over tasks."""
     spark = packages.sparkSession
-    blocks = packages.select("uri", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(block_records).cast("long"))).alias("first"))
-    n = max(1, min(blocks.count(), 100 * spark.sparkContext.defaultParallelism))
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                f = RangeFile(uri)
+                try:
+                    data, _ = stored_range(f, ARCHIVE)
+                    found = list(index_blocks(f, block_records))
+                finally:
+                    f.close()
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * n, pa.string()), pa.array([data] * n, pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())], ["uri", "data", "at", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for uri, data, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 f = RangeFile(uri)
                 try:
-                    yield _read_block(f, first, block_records)
+                    yield from _read_block(f, data, f.read(at, size))
                 finally:
                     f.close()
 
-    return blocks.repartition(n).mapInArrow(run, schema)
+    blocks = stored(packages.select("uri").mapInArrow(cut, "uri string, data long, at long, size long"), "warc-blocks")
+    n = max(1, min(blocks.count(), 100 * spark.sparkContext.defaultParallelism))
+    return blocks.repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def _number(s: str | None) -> int | None:
     return int(s) if s else None
 
 
-def _read_block(f: RangeFile, first: int, count: int) -> pa.RecordBatch:
-    data, _ = stored_range(f, ARCHIVE)
-    at, size = stored_range(f, INDEX)
-    lines = f.read(at, size).split(b"\n")[first : first + count]
+def _read_block(f: RangeFile, data: int, lines: bytes) -> Iterator[pa.RecordBatch]:
+    """The records of some index lines; data is where the archive member begins."""
     rows = []
-    for entry in (json.loads(x) for x in lines if x):
+    for entry in (json.loads(x) for x in lines.split(b"\n") if x):
         headers, block = parse_record(gzip.decompress(f.read(data + entry["offset"], entry["length"])))
         digest = headers["warc-payload-digest"].removeprefix("sha1:")
         n = int(headers["x-payload-length"])
@@ -263,10 +296,11 @@ def _read_block(f: RangeFile, first: int, count: int) -> pa.RecordBatch:
             n, found = len(payload), hashlib.sha1(payload).hexdigest()
             if found != digest:
                 raise ValueError(f"record {headers['warc-record-id']}: payload digest {found}, header {digest}")
-        rows.append((_number(headers["x-page-id"]), n, digest, headers["warc-type"], _number(headers.get("x-refers-to-page-id")), headers["warc-target-uri"]))
+        url = json.loads(headers["x-page-url"]) if "x-page-url" in headers else headers["warc-target-uri"]
+        rows.append((_number(headers["x-page-id"]), n, digest, headers["warc-type"], _number(headers.get("x-refers-to-page-id")), url))
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
