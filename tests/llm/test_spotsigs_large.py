@@ -2,9 +2,10 @@
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from verdictflow.llm import spotsigs
 
@@ -39,4 +40,51 @@ def test_all_similar_pairs_are_found(spark, threshold):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert len(wanted) > 50
     for salts in (1, 3):
-        assert Counter((*pair(r.doc_id, r.other_id), r.likeness) for r in spotsigs.similar(docs, threshold, salts).collect()) == wanted
+        pairs, members = spotsigs.similar(docs, threshold, salts)
+        of = defaultdict(list)
+        for r in members.collect():
+            of[r.rep].append(r.doc_id)
+        assert sum(map(len, of.values())) == len(rows)
+        got = Counter((*pair(a, b), 1.0) for ids in of.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+        for r in pairs.collect():
+            got.update((*pair(a, b), r.likeness) for a in of[r.rep] for b in of[r.other_rep])
+        assert got == wanted
+
+
+def test_copies_of_one_text_are_one_representative(spark):
+    docs = spark.createDataFrame([(i, "the house of cards is on the hill") for i in range(3000)] + [(9000, "")], "doc_id long, text string")
+    pairs, members = spotsigs.similar(docs, 0.8)
+    assert pairs.count() == 0 and members.select("rep").distinct().count() == 2 and members.count() == 3001
+    assert [x.count() for x in spotsigs.similar(docs.limit(0), 0.8)] == [0, 0]
+
+
+def brute_spots(text):
+    """An anchor with the next two content words, by scanning forward from every anchor; words too where there are few."""
+    trim = spotsigs.PUNCTUATION
+    words = [w if w.isalnum() else w.strip(trim) for w in text.lower().split()]
+    spots = set()
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            chain = [x for x in words[i + 1 :] if x and x not in spotsigs.ANCHORS][:2]
+            if len(chain) == 2:
+                spots.add(" ".join([w, *chain]))
+    if len(spots) < max(8, len(words) // 20):
+        spots |= {w for w in words if w}
+    return spots
+
+
+def test_query_against_brute_force(spark):
+    """Every column of op7 on a whole table: sets of spots as strings, likeness counted on them."""
+    sf = "/root/testdata/sf0.001"
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in spotsigs.op7_spotsigs(spark, sf).collect()}
+    assert len(got) == len(docs)
+    code = lambda spots: "".join(sorted(f"{xxhash.xxh3_64_intdigest(s) & (1 << 48) - 1:012x}" for s in spots))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, (i, text) in enumerate(docs):
+        after, half = docs[(k + 1) % len(docs)][1], len(text) // 2
+        changed = text[: len(text) - half] + after[:half]
+        own, new, following = brute_spots(text), brute_spots(changed), brute_spots(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(changed.encode()).hexdigest(), code(own), code(new))
+        assert r.near_edited == pytest.approx(like(own, new)) and r.near_next == pytest.approx(like(own, following))

@@ -3,7 +3,8 @@
 A spot is a common word (the anchor) with the chain of the next content words after it; a document's signature set holds
 a 48-bit hash of each distinct spot.  The fingerprint is that set in order, written in hex, so equal texts have equal
 fingerprints and two fingerprints give the exact Jaccard likeness of their sets.  Sets whose lengths alone rule a
-threshold out are not compared: that bound prunes ``pruned_jaccard`` and, as partitions by length, ``length_partition``.
+threshold out are not compared: that bound prunes ``pruned_jaccard``, and ``similar`` joins only adjacent partitions by
+length.
 
 Edge cases: a null or empty text has the empty fingerprint; a text with few spots is known by them and its words; equal
 fingerprints have likeness 1, also empty ones; texts of any length are read whole; ties of doc_id are ordered by text,
@@ -59,11 +60,6 @@ def fingerprint(spots: np.ndarray) -> str:
     return spots.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex() if len(spots) else ""
 
 
-def length_partition(length: int, threshold: float) -> int:
-    """Sets of a likeness of threshold or more lie in the same partition or in adjacent ones."""
-    return math.floor(math.log(length) / -math.log(threshold) + 1e-9) if length else -1
-
-
 def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
     """Exact where it reaches threshold; 0 where the lengths rule that out."""
     if not len(a) and not len(b):
@@ -159,36 +155,47 @@ def _compared(doc_id: int | None, text: str, spots: np.ndarray, following: str,
     return doc_id, len(text), _sha(changed), fingerprint(spots), fingerprint(changed_spots), pruned_jaccard(spots, changed_spots), pruned_jaccard(spots, next_spots), len(spots)
 
 
-def similar(docs: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
-    """doc_id, other_id, likeness of all pairs of docs (doc_id, text) whose likeness reaches threshold (above 0, below 1).
+def similar(docs: DataFrame, threshold: float, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of docs (doc_id, text) for a likeness of threshold (above 0, below 1).
 
-    Partitions of set length are joined with themselves and the next one.  Two such sets share one of their least spots,
-    as many as a set may lack plus one, so those alone are keys.  A key's left side is dealt to salts, its right side is
-    repeated for each, so that a common spot is no single task.  Empty sets are like each other.
+    members: row, doc_id, rep, one row per document; documents of equal sets share a rep.  pairs: rep, other_rep,
+    likeness of all pairs of different sets whose likeness reaches threshold; copies are not expanded.
+
+    Partitions of set length are joined with themselves and the next one.  Two such sets share one of their rarest
+    spots, as many as a set may lack plus one, so those alone are keys.  A key's left side is dealt to salts, its right
+    side is repeated for each, so that a spot that many sets share is no single task.
     """
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [signatures(t) for t in batch.column(2).to_pylist()]
-            parts = [length_partition(len(s), threshold) for s in sets]
-            keys = [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1].astype(np.int64) if len(s) else np.array([-1]) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["row", "doc_id", "part", "keys", "spots"])
+            sets = [signatures(t).astype(np.int64) for t in batch.column(2).to_pylist()]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["row", "doc_id", "digest", "spots"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sets = stored(rows.mapInArrow(signed, "row long, doc_id long, part int, keys array<long>, spots array<long>"), "spots")
-    keyed = sets.select("row", "part", F.explode("keys").alias("key"))
+    sets = stored(rows.mapInArrow(signed, "row long, doc_id long, digest binary, spots array<long>"), "spots")
+    reps = stored(sets.groupBy("digest").agg(F.min("row").alias("rep")), "spots-reps")
+    members = sets.select("row", "doc_id", "digest").join(reps, "digest").drop("digest")
+    known = stored(sets.join(reps.select(F.col("rep").alias("row")), "row").where("size(spots) > 0").select("row", "spots"), "spots-known")
+    common = stored(known.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count(F.lit(1)).alias("df")), "spots-common")
+    ranked = known.select("row", F.explode("spots").alias("spot")).join(common, "spot").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "spot"))).alias("s"))
+    n = F.size("s")
+    part = F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    prefix = F.slice("s", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    keyed = stored(ranked.select("row", part.alias("part"), F.explode(prefix).alias("k")).select("row", "part", F.col("k.spot").alias("key")), "spots-keyed")
     left = keyed.select(F.col("row").alias("a"), F.col("part").alias("part_a"), "part", "key", F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"))
     right = keyed.select(F.col("row").alias("b"), F.col("part").alias("part_b"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "key").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
     pairs = left.join(right, ["part", "key", "salt"]).where("part_b > part_a OR a < b").select("a", "b").distinct()
-    side = lambda row, i, spots: sets.select(F.col("row").alias(row), F.col("doc_id").alias(i), F.col("spots").alias(spots))
-    both = pairs.join(side("a", "doc_id", "x"), "a").join(side("b", "other_id", "y"), "b").select("doc_id", "other_id", "x", "y")
+    side = lambda row, spots: known.select(F.col("row").alias(row), F.col("spots").alias(spots))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
             likeness = [pruned_jaccard(x[i].values.to_numpy(), y[i].values.to_numpy(), threshold) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness, pa.float64())], ["doc_id", "other_id", "likeness"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness, pa.float64())], ["rep", "other_rep", "likeness"])
 
-    return both.mapInArrow(compared, "doc_id long, other_id long, likeness double").where(F.col("likeness") >= threshold)
+    return both.mapInArrow(compared, "rep long, other_rep long, likeness double").where(F.col("likeness") >= threshold), members
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
