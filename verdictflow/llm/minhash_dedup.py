@@ -322,3 +322,26 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = joined.join(kept, F.col("__of") == F.col("__id"))
     first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__content"))
     return joined.withColumn("__n", first).where("__n = 1").select("__row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
+#: DuckDB; sets are compared where they share one of their rarest shingles, components by reaching ever smaller ids.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END AS sh FROM d
+), r AS (
+  SELECT sha256(array_to_string(sh, chr(10))) AS h, min(doc_id) AS rep, max(len(sh))::BIGINT AS n, any_value(sh) AS sh FROM s WHERE len(sh) > 0 GROUP BY h
+), x AS (SELECT rep, n, unnest(sh) AS w FROM r), rare AS (
+  SELECT rep, n, w FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY c, w) AS k FROM (SELECT *, count(*) OVER (PARTITION BY w) AS c FROM x)) WHERE k <= n - (85 * n + 99) // 100 + 1
+), cand AS (
+  SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.w = b.w AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+), e AS (
+  SELECT a, b FROM (SELECT a, b, len(list_intersect(p.sh, q.sh)) AS i, p.n + q.n AS t FROM cand JOIN r p ON p.rep = a JOIN r q ON q.rep = b) WHERE 100 * i >= 85 * (t - i)
+), ed AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (
+  SELECT rep AS id, rep AS m FROM r UNION SELECT ed.b, reach.m FROM reach JOIN ed ON ed.a = reach.id WHERE reach.m < ed.b
+), c AS (SELECT id, min(m) AS root FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, coalesce(c.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN r ON len(s.sh) > 0 AND r.h = sha256(array_to_string(s.sh, chr(10))) LEFT JOIN c ON c.id = r.rep
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op5_minhash": minhash_dedup.ORACLE,
     "op9_chat": chat.ORACLE,
 }
