@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdictflow.operators import cascade, corpus, diffs, imports, manifests, scoring
-from verdictflow.plans.scan import ORDER, decisions, scan
+from verdictflow.plans.scan import ORDER, decisions, release, scan
 from verdictflow.sources import readers
 from verdictflow.streaming.watch import watch
 
@@ -138,3 +138,11 @@ def test_stream_of_diffs(spark, tmp_path):
     reg = spark.createDataFrame([("nowhere", 404, False, "2024-01-01")], readers.REGISTRY)
     watch(spark, str(tmp_path / "in"), reg, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert [(r.case_id, r.name, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("one", "nowhere", 2)]
+
+
+def test_kept_lines_are_released(spark):
+    table = spark.createDataFrame([("t", "diff --git a/a.py b/a.py\n--- /dev/null\n+++ b/a.py\n@@ -0,0 +1 @@\n+import nowhere\n")], "case_id string, diff string")
+    found = scan(spark, table, spark.createDataFrame([("nowhere", 404, False, "d")], readers.REGISTRY))
+    assert found.count() == 1 and found._verdictflow_lines.is_cached
+    release(found)
+    assert not found._verdictflow_lines.is_cached and found.count() == 1

@@ -36,6 +36,7 @@ def declared(body: DataFrame) -> DataFrame:
 def decisions(spark: SparkSession, diff_table: DataFrame, registry: DataFrame, repo_top: DataFrame | None = None, siblings: DataFrame | None = None, known_once: bool = False) -> DataFrame:
     """COLUMNS of every candidate, in ORDER within its case.  A file of fixture data gives one decision and no candidate.
 
+    The lines stay in Spark's cache until release() is called with the result.
     evidence says where the registry's answer comes from; with known_once the registry has one row per normalised name.
     """
     lines = lines_of(diff_table)
@@ -53,9 +54,19 @@ def decisions(spark: SparkSession, diff_table: DataFrame, registry: DataFrame, r
     )
     evidence = F.when(F.col("registry") != "unknown", F.concat(F.lit("registry: "), "registry", F.lit(" as "), "dist"))
     both = [df.withColumn("evidence", evidence).select(*COLUMNS) for df in (required, resolved)]
-    return cascade.closed(skipped.select(*COLUMNS).unionByName(both[0]).unionByName(both[1]))
+    out = cascade.closed(skipped.select(*COLUMNS).unionByName(both[0]).unionByName(both[1]))
+    out._verdictflow_lines = lines
+    return out
 
 
 def scan(spark: SparkSession, diff_table: DataFrame, registry: DataFrame, repo_top: DataFrame | None = None, siblings: DataFrame | None = None, known_once: bool = False) -> DataFrame:
     """Findings: case_id, name, file, line, kind, message, evidence, and ord, their order in the case."""
-    return render.findings(decisions(spark, diff_table, registry, repo_top, siblings, known_once))
+    found = decisions(spark, diff_table, registry, repo_top, siblings, known_once)
+    out = render.findings(found)
+    out._verdictflow_lines = found._verdictflow_lines
+    return out
+
+
+def release(result: DataFrame) -> None:
+    """Let go of the lines that decisions() or scan() keeps, once nothing reads their result any more."""
+    result._verdictflow_lines.unpersist()

@@ -12,10 +12,15 @@ LABELS = ("clean", "hallucination")
 FINDING = "array<struct<name:string,file:string,line:int,kind:string,message:string>>"
 
 
-def diffs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: case_id (the file's name without its suffix), diff."""
+def as_diffs(texts: DataFrame) -> DataFrame:
+    """Whole texts, read from files in batch or as a stream: case_id (the file's name without its suffix), diff."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.diff|\.patch)?$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("case_id"), F.col("value").alias("diff"))
+    return texts.select(name.alias("case_id"), F.col("value").alias("diff"))
+
+
+def diffs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file."""
+    return as_diffs(spark.read.text(path, wholetext=True))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -7,22 +7,22 @@ its own diffs.  The sink is keyed by batch id, so a batch that is run again afte
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.scan import scan
+from ..plans.scan import release, scan
+from ..sources.readers import as_diffs
 
 
 def incoming(spark: SparkSession, folder: str) -> DataFrame:
     """case_id, diff of each file that appears in folder."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.diff|\.patch)?$", 1)
-    return spark.readStream.format("text").option("wholetext", True).load(folder).select(name.alias("case_id"), F.col("value").alias("diff"))
+    return as_diffs(spark.readStream.format("text").option("wholetext", True).load(folder))
 
 
 def watch(spark: SparkSession, folder: str, registry: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     def run(batch: DataFrame, batch_id: int) -> None:
         found = scan(batch.sparkSession, batch, registry)
         found.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        release(found)
 
     writer = incoming(spark, folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
