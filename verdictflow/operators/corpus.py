@@ -136,6 +136,27 @@ def first_match(rows: DataFrame, by: list[str], order: list[str], condition: Col
     return rows.where(condition).groupBy(*by).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("r")).select(*by, "r.*")
 
 
+def issue_actions(wanted: DataFrame, issues: DataFrame) -> DataFrame:
+    """wanted (title, body) with number and action: update the first open issue of that very title, or open one.
+
+    issues: (number, title) of the open ones.
+    """
+    known = issues.groupBy("title").agg(F.min("number").alias("number"))
+    return wanted.join(known, "title", "left").withColumn("action", F.when(F.col("number").isNull(), "open").otherwise("update"))
+
+
+def verified_assets(assets: DataFrame, sums: DataFrame) -> DataFrame:
+    """assets (release, name, sha256) with verdict: verified, failed, or unlisted where the release's sums lack the name.
+
+    sums: (release, text), the lines of which hold a digest, blanks, and a name that a star may precede.
+    """
+    lines = sums.select("release", F.explode(F.split("text", "\n")).alias("line"))
+    listed = lines.select("release", F.lower(F.regexp_extract("line", r"^([0-9A-Fa-f]{64})\s+\*?(.+?)\s*$", 1)).alias("listed"), F.regexp_extract("line", r"^([0-9A-Fa-f]{64})\s+\*?(.+?)\s*$", 2).alias("name"))
+    one = listed.where("listed <> ''").groupBy("release", "name").agg(F.min("listed").alias("listed"), F.max("listed").alias("__other"))
+    verdict = F.when(F.col("listed").isNull(), "unlisted").when((F.col("listed") == F.lower("sha256")) & (F.col("__other") == F.col("listed")), "verified").otherwise("failed")
+    return assets.join(one, ["release", "name"], "left").withColumn("verdict", verdict).drop("listed", "__other")
+
+
 def diagnose(unresolved: DataFrame, tree: DataFrame, known: DataFrame, diffs: DataFrame) -> DataFrame:
     """unresolved (case_id, repo, ord, top, file) with signals, what may explain the name.
 

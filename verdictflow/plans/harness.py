@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import cascade, corpus, diffs, imports, render, repo, scoring, sinks
-from ..sources import listing, readers, refdata, staging, tools
+from ..sources import listing, live, readers, refdata, staging, tools
 from . import inline, scan
 from .catalogue import ADDED_SQL, COARSE, ORACLES, SOURCES, TOY_SQL, WANTED, norm_sql, query, read, toy_tool
 
@@ -521,3 +521,74 @@ def q75(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag by several keys."""
     pairs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s_suppkey"), F.col("p_size").alias("s_nationkey"))
     return cascade.flag(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), pairs, ["s_suppkey", "s_nationkey"], "same").select("s_suppkey", "same")
+
+
+@query("q76_issue_actions", "SELECT n_name AS title, min(s_suppkey) AS number, CASE WHEN min(s_suppkey) IS NULL THEN 'open' ELSE 'update' END AS action FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY n_name")
+def q76(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One issue per title, found again by its title."""
+    nation = read(spark, sf_dir, "nation")
+    issues = read(spark, sf_dir, "supplier").where("s_acctbal > 9000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("number"), F.col("n_name").alias("title"))
+    return corpus.issue_actions(nation.select(F.col("n_name").alias("title"), F.lit("b").alias("body")), issues).drop("body")
+
+
+@query("q77_verified_assets", """
+SELECT p_brand AS release, p_partkey::VARCHAR AS name, CASE WHEN p_size > 40 THEN 'unlisted' WHEN p_size > 20 THEN 'failed' ELSE 'verified' END AS verdict FROM part
+""")
+def q77(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloads against the lines of their release's list of digests."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("release"), F.col("p_partkey").cast("string").alias("name"), F.sha2(F.col("p_partkey").cast("string").cast("binary"), 256).alias("sha256"), "p_size")
+    said = F.when(F.col("p_size") > 20, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.upper("sha256"))
+    line = F.when(F.col("p_size") <= 40, F.concat(said, F.lit("  *"), "name"))
+    sums = p.groupBy("release").agg(F.concat(F.lit("# sums\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    return corpus.verified_assets(p.drop("p_size"), sums).select("release", "name", "verdict")
+
+
+def _answers(address: str) -> live.Answer:
+    """What a registry would say: by the length of the name asked for, and nothing at all for some."""
+    name = address.split("/")[-2]
+    return live.Answer(None, error="URLError: no route") if len(name) > 4 else live.Answer({3: 404, 4: 200}.get(len(name), 429), "{}")
+
+
+@query("q78_live_lookups", f"""
+WITH {PART_SQL}, n AS (SELECT DISTINCT name FROM c WHERE kind = 'import' AND name = ws[1])
+SELECT name, CASE length(name) WHEN 3 THEN 404 WHEN 4 THEN 200 ELSE CASE WHEN length(name) > 4 THEN NULL ELSE 429 END END::INT AS status, CASE length(name) WHEN 4 THEN true WHEN 3 THEN false END AS "exists" FROM n
+""")
+def q78(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names asked of a source without a table; what doesn't answer is unknown."""
+    first = read(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("dist"))
+    return live.registry(cascade.distinct_names(first), "https://host/pypi/", _answers, "2026-01-01", tasks=2, pause=0).select("name", "status", "exists")
+
+
+@query("q79_live_diffs", rows("case_id string, diff string, error string", [("a", "{}", None), ("b", None, "status 404"), ("c", None, "URLError: no route"), ("d", None, "status 429")]))
+def q79(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs that can't be had are null and say why."""
+    cases = spark.createDataFrame([("a", "h/abcd/x"), ("b", "h/abc/x"), ("c", "h/abcdef/x"), ("d", "h/a/x")], "case_id string, address string")
+    return live.diffs(cases, _answers, pause=0)
+
+
+def _new(path: str, *lines: str) -> str:
+    return f"diff --git a/{path} b/{path}\n--- /dev/null\n+++ b/{path}\n@@ -0,0 +1,{len(lines)} @@\n" + "".join(f"+{x}\n" for x in lines)
+
+
+_SEEDED = {"h1": (_new("m.py", "import os", "import fakelib as f"), "fakelib", "m.py", "import"), "h2": (_new("n.py", "from ghostpkg import x", "import json"), "ghostpkg", "n.py", "import"), "h3": (_new("requirements.txt", "phantom-lib==1.0", "six"), "phantom_lib", "requirements.txt", "requirement")}
+_CLEAN = {"c1": _new("a.py", "import sys", "import re"), "c2": _new("README.md", "import this line"), "c3": _new("b.py", "x = 1")}
+GOLDEN = {
+    "manifest.jsonl": "\n".join([*(json.dumps({"id": i, "label": "hallucination", "truth": [{"name": n, "file": f, "kind": k}]}) for i, (_, n, f, k) in _SEEDED.items()), *(json.dumps({"id": i, "label": "clean"}) for i in _CLEAN)]),
+    **{f"diffs/{i}.diff": d for i, (d, *_) in _SEEDED.items()}, **{f"diffs/{i}.diff": d for i, d in _CLEAN.items()},
+}
+
+
+@query("q80_golden_counts", rows("tool string, label string, cases long, tp long, fp long, fn long", [
+    ("every", "clean", 3, 0, 3, 0), ("every", "hallucination", 3, 2, 2, 1), ("listed", "clean", 3, 0, 0, 0), ("listed", "hallucination", 3, 3, 0, 0), ("none", "clean", 3, 0, 0, 0), ("none", "hallucination", 3, 0, 0, 3),
+]))
+def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a corpus folder to scores: its cases, their diffs, three tools, and what they hit, miss and invent."""
+    found = readers.case_diffs(spark, staging.put(spark, GOLDEN))
+    cases = found.select("case_id", F.lit("golden").alias("corpus"), "label")
+    truths = found.select("case_id", F.posexplode("truth").alias("truth_id", "t")).select("case_id", "truth_id", "t.name", "t.file", "t.kind")
+    lines = diffs.coarse_added(found.select("case_id", "diff"))
+    out = None
+    for tool, said in {"every": imports.every_import_once(lines), "listed": imports.listed_imports(lines, ["fakelib", "ghostpkg", "phantom_lib"]), "none": imports.no_findings(lines)}.items():
+        one = scoring.case_counts(cases, truths, said.select("case_id", "name", "file")).groupBy("label").agg(F.count(F.lit(1)).alias("cases"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("tool", F.lit(tool))
+        out = one if out is None else out.unionByName(one)
+    return out
