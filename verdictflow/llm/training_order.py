@@ -44,7 +44,7 @@ KEY = b"training-order-1"
 ROUNDS = 6
 #: Ranges of about ROWS documents are summed up by themselves, and there are at most MOST of them; so many partitions,
 #: at most, write shards.
-ROWS, MOST, MOST_WRITERS = 1 << 20, 20_000, 200_000
+ROWS, MOST, MOST_WRITERS = 1 << 16, 20_000, 200_000
 
 
 class Feistel:
