@@ -57,6 +57,7 @@ def planted(seed, n):
 def test_near_duplicates_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", block)
     monkeypatch.setattr(minhash_dedup, "STAR_DOCS", block)
+    monkeypatch.setattr(minhash_dedup, "COMBINED", 20 * block)
     rows = planted(block, 300)
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
     got = minhash_dedup.near_duplicates(docs, 3, 85).collect()
@@ -101,6 +102,16 @@ def test_risk_stays_non_negative_and_separates():
     assert (net.forward(good[200:])[1] > 0).mean() > 0.93 and (net.forward(bad)[1] < 0).mean() > 0.93
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_is_estimated_without_negatives(share):
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(1.5, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4))
+    n = int(3000 * share)
+    unlabelled = np.vstack([good[:n], bad[: 3000 - n]])
+    assert pu_classifier.estimate_prior(good[n - 200 : n + 600], unlabelled) == pytest.approx(share, abs=0.04)
+    assert pu_classifier.estimate_prior(good[:1], unlabelled[:1]) == 0.5
+
+
 def test_classifier_on_held_out_rows(spark):
     rows = {r.doc_id: r for r in pu_classifier.op2_quality_classifier(spark, SF_DIR).collect()}
     labels = duckdb.sql(f"SELECT doc_id, quality FROM '{SF_DIR}/labels.parquet'").fetchall()
@@ -169,3 +180,30 @@ def test_pipeline_against_brute_force(spark):
     assert Counter(r.doc_id for r in encoded) == Counter(r.doc_id for r in mix)
     assert all(r.round_trip and r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in encoded)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == set(texts)
+
+
+def test_a_group_of_thousands_loses_no_link(spark, monkeypatch):
+    """Near copies of few texts around the threshold, in components far beyond a block, against all pairs by matrices."""
+    monkeypatch.setattr(minhash_dedup, "COMBINED", 700)
+    rng, rows = random.Random(8), []
+    base = [[f"v{b}w{i}" for i in range(60)] for b in range(2)]
+    for i in range(3000):
+        t = list(base[i % 2])
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(40)}"
+        rows.append((i * 3, " ".join(t)))
+    sets = [shingles(t, 3) for _, t in rows]
+    place = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    matrix = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        matrix[k, [place[x] for x in s]] = 1
+    common, size = matrix @ matrix.T, matrix.sum(1)
+    linked = 100 * common >= 85 * (size[:, None] + size[None, :] - common)
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(linked, root[None, :], len(rows)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len(set(root)) > 20 and got == {rows[k][0]: rows[r][0] for k, r in enumerate(root)}

@@ -6,15 +6,16 @@
    positions, some chunk has at most one error (pigeonhole); so each chunk is keyed once for each position left out, and
    any such pair shares a key.  A pair shares no key with a probability below 1e-10 at a similarity of 0.85, below
    1e-8 at 0.8.
-3. In each bucket every member is linked to the least one: as many rows as members, never all pairs.  The components of
-   these links hold every pair that shares a key.
+3. In each bucket every member is linked to the least one, or to one that is: as many rows as members, never all pairs.
+   Tasks combine their buckets before the shuffle.  The components of these links hold every pair that shares a key.
 4. Within a component, pairs up to COMPARED that are not connected yet are compared on their full sets, counted over an
    inverted index, from the most central signature outwards.  A component of up to BLOCK_DOCS is one task.
 5. Of a larger one, each member is first compared with the leader of most of its buckets, in groups of about STAR_DOCS
    around a leader, so a group of n near copies costs n.  What is confirmed makes classes.
-6. Only members of buckets that still hold two classes go on.  Their components are cut into blocks, of one class each
-   where a class is large; every two blocks meet in a task of their own, but for blocks of one class.  So no pair that
-   shares a key goes uncompared.  Blocks are dealt by hash: BLOCK_DOCS is the mean of their size.
+6. Components that still hold two classes are cut into blocks, of one class each where a class is large; every two
+   blocks meet in a task of their own, but for blocks of one class.  So no pair that shares a key goes uncompared, and a
+   large class costs its size for each block of others, not its square.  Blocks are dealt by hash: BLOCK_DOCS is the
+   mean of their size.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; with fewer words than a shingle, the
 whole sequence is one; rows that share a doc_id are one document (its texts' links are its own), of which ``stage``
@@ -44,7 +45,9 @@ COMPARED = THRESHOLD + 9
 #: A block: so many documents, or so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
 #: So many documents around a leader are one group; classes follow so many links.
-STAR_DOCS, STEPS = 128, 3
+STAR_DOCS, STEPS = 128, 4
+#: Signatures whose buckets a task combines at a time: 70 keys each, some 40 MB.
+COMBINED = 1 << 15
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -125,28 +128,68 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def keyed(reps: DataFrame, *columns: str) -> DataFrame:
-    """columns and key of reps (sig, ...), one row for each of a signature's buckets."""
-    keys = []
-    for c in range(CHUNKS):
-        for left_out in range(CHUNK):
-            kept = [F.substring("sig", 2 * (c * CHUNK + p) + 1, 2) for p in range(CHUNK) if p != left_out]
-            keys.append(F.xxhash64(F.lit(c * CHUNK + left_out), *kept))
-    return reps.select(*columns, F.explode(F.array(*keys)).alias("key"))
+def bucket_keys(sigs: np.ndarray) -> np.ndarray:
+    """Per signature, the key of each of its buckets: four of a chunk's five positions, and which ones these are."""
+    wide = sigs.astype(np.uint64)
+    keys = np.empty((len(sigs), POSITIONS), np.uint64)
+    for k in range(POSITIONS):
+        c, left_out = divmod(k, CHUNK)
+        value = np.uint64(0)
+        for p in range(CHUNK):
+            if p != left_out:
+                value = value << np.uint64(16) | wide[:, c * CHUNK + p]
+        keys[:, k] = mixed(value ^ _XOR[k])
+    return keys.astype(np.int64)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, POSITIONS)
+
+
+def _combined(ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What some signatures say of their buckets: each bucket's least id, and links of the others to it."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, keys = ids[by_id], bucket_keys(sigs[by_id]).ravel()
+    order = np.argsort(keys, kind="stable")
+    first = np.append(True, np.diff(keys[order]) != 0)
+    row = order // POSITIONS
+    leader = row[first][np.cumsum(first) - 1]
+    pairs, shared = np.unique((row * len(ids) + leader)[row != leader], return_counts=True)
+    u, v = ids[pairs // len(ids)], ids[pairs % len(ids)]
+    parts = [(False, keys[order][first], ids[row[first]], ids[row[first]], np.ones(first.sum(), np.int64)), (True, u, u, v, shared)]
+    for link, *columns in parts:
+        for i in range(0, len(columns[0]), 1 << 16):
+            part = [pa.array(c[i : i + (1 << 16)], pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), link)), *part], ["link", "key", "u", "v", "shared"])
 
 
 def bucket_links(reps: DataFrame) -> DataFrame:
     """(u, v, shared): each representative, the least one of a bucket that it is in, and in how many buckets it is that.
 
-    Minima are aggregated before the shuffle, and written before they are joined back, so that Spark can split the join
-    at a bucket with very many members.
+    Tasks combine the buckets of COMBINED signatures at a time before anything is shuffled: a bucket with very many
+    members arrives as a few local leaders, and the members are linked with those.
     """
-    rows = keyed(reps, "id")
-    least = stored(rows.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("__most")).where("v <> __most").drop("__most"), "dedup-least")
-    pairs = rows.join(least, "key").select(F.col("id").alias("u"), "v").where("u <> v")
-    out = stored(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")), "dedup-bucket-links")
-    discard(least)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([b.column(0).to_numpy() for b in held])
+            sigs = np.concatenate([_matrix(b.column(1)) for b in held])
+            held.clear()
+            yield from _combined(ids, sigs)
+
+        for batch in slices(batches, COMBINED):
+            if held and sum(b.num_rows for b in held) + batch.num_rows > COMBINED:
+                yield from done()
+            held.append(batch)
+        if held:
+            yield from done()
+
+    rows = reps.select("id", "sig").mapInArrow(run, "link boolean, key long, u long, v long, shared long")
+    least = F.first("u").over(Window.partitionBy("link", "key").orderBy("u").rowsBetween(Window.unboundedPreceding, 0))
+    pairs = rows.withColumn("v", F.when(F.col("link"), F.col("v")).otherwise(least)).where("u <> v")
+    return stored(pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared")), "dedup-bucket-links")
 
 
 def confirm(classes: np.ndarray, texts: list[str], side: np.ndarray, width: int, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -210,7 +253,7 @@ def blocks_of(n_docs: Column, n_shingles: Column, docs: int | None = None) -> Co
     return F.ceil(F.greatest(n_docs / (docs or BLOCK_DOCS), n_shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def star_links(big: DataFrame, links: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+def star_links(big: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): members of big (id, n, ...) that are linked with the leader of most of their buckets; v < u.
 
     links: (u, v, shared).  Around a leader with very many members there are many groups, each with the leader's text.
@@ -221,7 +264,7 @@ def star_links(big: DataFrame, links: DataFrame, source: DataFrame, width: int,
     groups = stored(best.groupBy("v").agg(blocks_of(F.count(F.lit(1)), F.sum("n"), STAR_DOCS).alias("salts")), "dedup-stars")
     around = best.join(groups, "v").select("v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.col("u").alias("id"), F.lit(1).alias("side"))
     leader = groups.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("v").alias("id"), F.lit(2).alias("side"))
-    whole = around.unionByName(leader).join(source.withColumnRenamed("doc_id", "id"), "id").select("v", "salt", "id", F.col("id").alias("cls"), "side", "text")
+    whole = around.unionByName(leader).join(texts, "id").select("v", "salt", "id", F.col("id").alias("cls"), "side", "text")
     found = whole.groupBy("v", "salt").applyInArrow(_compare(width, percent), "u long, v long")
     out = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-star-links")
     discard(best, groups)
@@ -239,13 +282,11 @@ def with_classes(big: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def block_links(big: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): links that join classes, of all pairs of big (id, root, cls, sig, n) that share a bucket and are in two
-    classes."""
-    rows = keyed(big, "id", "cls")
-    mixed = stored(rows.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key"), "dedup-mixed")
-    still = rows.join(mixed, "key", "left_semi").select("id").distinct()
-    still = stored(still.join(big.groupBy("id").agg(F.min("root").alias("root"), F.min("cls").alias("cls"), F.sum("n").alias("n")), "id"), "dedup-open")
+def block_links(big: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): links that join classes, of all pairs of big (id, root, cls, n) in one component and in two classes."""
+    several = big.groupBy("root").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("root")
+    members = big.groupBy("id").agg(F.min("root").alias("root"), F.min("cls").alias("cls"), F.sum("n").alias("n"))
+    still = stored(members.join(several, "root", "left_semi"), "dedup-open")
     of_class = still.groupBy("root", "cls").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
     of_class = of_class.withColumn("pure", blocks_of(F.col("n_docs"), F.col("n")) > 1).withColumn("own", F.when(F.col("pure"), F.col("cls")).otherwise(0))
     groups = of_class.groupBy("root", "pure", "own").agg(blocks_of(F.sum("n_docs"), F.sum("n")).alias("blocks"))
@@ -256,17 +297,17 @@ def block_links(big: DataFrame, source: DataFrame, width: int, percent: int) ->
     dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
     dealt = dealt.where("NOT pure OR met < base OR met >= base + blocks")
     dealt = dealt.select("root", F.least("at", "met").alias("i"), F.greatest("at", "met").alias("j"), "id", "cls", F.when(F.col("at") <= F.col("met"), 1).otherwise(2).alias("side"))
-    whole = dealt.join(source.withColumnRenamed("doc_id", "id"), "id")
+    whole = dealt.join(texts, "id")
     out = stored(whole.groupBy("root", "i", "j").applyInArrow(_compare(width, percent), "u long, v long"), "dedup-block-links")
-    discard(mixed, still, places)
+    discard(still, places)
     return out
 
 
-def classes_of_large(big: DataFrame, links: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, root) of the members of large components, big (id, root, sig, n), that are not roots."""
-    near = star_links(big, links, source, width, percent)
+def classes_of_large(big: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, root) of the members of large components, big (id, root, n), that are not roots."""
+    near = star_links(big, links, texts, width, percent)
     classed = stored(with_classes(big, near), "dedup-classed")
-    found = block_links(classed, source, width, percent)
+    found = block_links(classed, texts, width, percent)
     out = stored(connected_components(near.unionByName(found)), "dedup-classes")
     discard(near, classed, found)
     return out
@@ -293,15 +334,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         found = {int(i): int(least[p]) for i, p in zip(ids, parent, strict=True) if i != least[p]}
         return pa.table({"id": pa.array(found.keys(), pa.int64()), "root": pa.array(found.values(), pa.int64())})
 
-    small = members.join(large, "root", "left_anti").select("id", "root").join(source.withColumnRenamed("doc_id", "id"), "id")
+    # All sizes take the same way: the members are not bounded, so they are never broadcast.
+    texts = stored(members.select("id", "root").hint("merge").join(source.withColumnRenamed("doc_id", "id"), "id"), "dedup-texts")
+    small = texts.join(large, "root", "left_anti").select("id", "root", "text")
     classes = stored(small.groupBy("root").applyInArrow(of_one, "id long, root long"), "dedup-links")
     if not large.isEmpty():
-        big = stored(members.join(large, "root", "left_semi").select("id", "root").join(reps.select("id", "sig", "n"), "id"), "dedup-big")
-        classes = classes.unionByName(classes_of_large(big, links, source, width, percent))
+        big = stored(members.join(large, "root", "left_semi").select("id", "root").join(reps.select("id", "n"), "id"), "dedup-big")
+        classes = classes.unionByName(classes_of_large(big, links, texts.join(large, "root", "left_semi").select("id", "text"), width, percent))
         discard(big)
     named = reps.select("d1", "d2", "id").join(classes, "id", "left")
     named = stored(named.select("d1", "d2", F.coalesce("root", "id").alias("root")), "dedup-named")
-    discard(reps, links, linked, members, large)
+    discard(reps, links, linked, members, large, texts)
     joined = signed.drop("sig").join(named, ["d1", "d2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("root"))
