@@ -46,8 +46,8 @@ COMPARED = THRESHOLD + 9
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
 #: So many documents around a leader are one group; classes follow so many links.
 STAR_DOCS, STEPS = 128, 4
-#: Signatures whose buckets a task combines at a time: 70 keys each, some 40 MB.
-COMBINED = 1 << 15
+#: Signatures whose buckets a task combines at a time: 70 keys each, some 60 MB with their order.
+COMBINED = 1 << 14
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
